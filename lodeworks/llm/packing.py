@@ -56,7 +56,7 @@ def best_cuts(place, penalty, window: int, final: bool) -> list[int]:
             pop()
         push((g, p, j))
     last = m - 1
-    while last > 0 and end - place[last - 1] < window:
+    while last > 0 and end - place[last - 1] <= window:
         last -= 1
     open_ends = range(last, m if not final else m - 1) if m > 1 else range(1)
     j = min(open_ends, key=cost.__getitem__, default=0)
