@@ -18,8 +18,8 @@ from lodeworks.llm.common import stored
 from lodeworks.llm.components import components
 from lodeworks.llm.tokens import slices
 
-#: Fingerprints in a tile on average, and rows of a tile compared at a time.
-TILE, ROWS = 2048, 64
+#: Fingerprints in a tile on average, rows of a tile compared and bytes of text hashed at a time.
+TILE, ROWS, SLICE_BYTES = 2048, 64, 3_000_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -74,7 +74,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def made(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 print_of = fingerprints(part.column("text"), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_of)], ["doc_id", "fingerprint"])
 

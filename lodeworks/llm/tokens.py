@@ -126,10 +126,10 @@ class BpeEncoder:
         return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str):
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
     """The batch in slices of bounded text size; a longer text is a slice of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size) // SLICE_BYTES
+    group = np.cumsum(size) // limit
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
