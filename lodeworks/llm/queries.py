@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import packing, simhash
+from lodeworks.llm import packing, sentence_spans, simhash
 from lodeworks.llm.common import read
 
 
@@ -27,5 +27,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_simhash_near_dedup": op2_simhash_near_dedup}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that repeats one of a document before."""
+    return sentence_spans.removed_spans(read(spark, sf_dir, "documents"), min_words=30)
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
+}
 ORACLES: dict[str, str] = {}
