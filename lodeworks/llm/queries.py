@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import packing, sentence_spans, simhash
+from lodeworks.llm import ball_tree, language, packing, sentence_spans, sharding, simhash
 from lodeworks.llm.common import read
 
 
@@ -32,9 +32,36 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.removed_spans(read(spark, sf_dir, "documents"), min_words=30)
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    rows = sharding.shard(read(spark, sf_dir, "documents"), shards=16, slots=4096).rows
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return ball_tree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def training_rows() -> Column:
+    """Documents from which languages may be learnt; the others of them are held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs, training_rows(), per_language=1000, landmarks=64)
+    held_out = F.coalesce(~training_rows(), F.lit(False)).alias("held_out")
+    return language.predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_sharding": op8_sharding,
+    "op9_exact_top_k": op9_exact_top_k,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
