@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import ball_tree, decontamination, language, packing, sentence_spans, sharding, simhash, url_filter
-from lodeworks.llm.common import read
+from lodeworks.llm import ball_tree, decontamination, language, packing, sentence_spans, sharding, simhash, token_counts, url_filter
+from lodeworks.llm.common import new_path, read
 
 
 def tokenizer_path() -> str:
@@ -35,6 +35,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents, committed as one batch that is then sent again."""
+    rollup = token_counts.TokenRollup(spark, new_path(spark, "token_counts"), {"byte_bpe_50k@1": tokenizer_path()})
+    inserts = read(spark, sf_dir, "documents").selectExpr("'insert' AS op", "doc_id", "source", "lang", "text")
+    for _ in range(2):
+        rollup.commit("documents", inserts)
+    return rollup.totals()
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item it holds."""
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -73,6 +82,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
