@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import ball_tree, decontamination, language, packing, sentence_spans, sharding, simhash, token_counts, url_filter
+from lodeworks.llm import ball_tree, decontamination, language, license_scan, packing, sentence_spans, sharding, simhash, token_counts, url_filter
 from lodeworks.llm.common import new_path, read
 
 
@@ -49,6 +49,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of the documents that states a licence."""
+    return license_scan.scan(read(spark, sf_dir, "documents"), max_negatives=500)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that repeats one of a document before."""
     return sentence_spans.removed_spans(read(spark, sf_dir, "documents"), min_words=30)
@@ -84,6 +89,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_sharding": op8_sharding,
     "op9_exact_top_k": op9_exact_top_k,
