@@ -77,7 +77,7 @@ def group_key(filename: Column) -> Column:
 def stored_group_key(filename: Column) -> Column:
     """The narrower key that back-fills stored rows: no folders cut off, fewer qualities known."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(filename), VIDEO, ""), STORED_QUALITY, "")
-    return F.trim(F.lit("."), F.regexp_replace(plain, "[^a-z0-9]+", "."))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "."), F.lit("."))
 
 
 def telling(tokens: Column, scoped: Column | bool = False) -> Column:

@@ -25,7 +25,7 @@ def roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
         step = state.join(hop, "at", "left")
         state = cut_lineage(step.select("node", F.coalesce("_to", "at").alias("at"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")))
         left = state.where("not done").count()
-        if not left or left == open_before and _ > 40:
+        if not left or left == open_before:  # each round settles the open node nearest to a root, if one leads there
             break
         open_before = left
     return state.where("done").select("node", F.col("at").alias("root"), "depth")
