@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ def brute(rows, asked, k):
 def test_equals_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     got = sorted(map(tuple, queries.op9_exact_top_k(spark, "/root/testdata/sf0.001").collect()))
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    names = ["query_id", "rank", "vec_id", "score"]
+    assert got == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLES['op9_exact_top_k']})").fetchall())
     assert got == brute([(r.vec_id, r.embedding) for r in rows.collect()], lambda i: i % 50 == 0, 5)
 
 
