@@ -13,7 +13,6 @@ from lodeworks.sources.roles import Roles, with_views
 CATEGORIES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 IN_CATEGORIES = "('1-URGENT', '2-HIGH', '3-MEDIUM')"
 AS_OF = "1998-06-01"
-as_of = F.lit(AS_OF).cast("date")
 POPULAR = """pop AS (SELECT a.work_id, CAST(sum(coalesce(p.seeders, 0) + coalesce(p.leechers, 0)) AS BIGINT) AS popularity FROM attempts a LEFT JOIN peers p USING (item_id) WHERE a.work_id IS NOT NULL GROUP BY 1),
  cards AS (SELECT w.work_id AS id, w.title, s.name AS secondary, coalesce(c.n, 0) AS related_count, coalesce(pop.popularity, 0) AS popularity
   FROM works w LEFT JOIN (SELECT work_id, count(*) AS n FROM bridge GROUP BY 1) c USING (work_id) LEFT JOIN pop USING (work_id) LEFT JOIN sites s USING (site_id))"""
@@ -119,7 +118,7 @@ def probe_summary(r: Roles) -> DataFrame:
 
 @query(with_views("items attempts", f"SELECT i.item_id, i.title, i.category, coalesce(a.attempts, 0) AS attempts, i.added_at FROM items i LEFT JOIN (SELECT * FROM attempts WHERE item_id % 3 > 0) a USING (item_id) WHERE i.category IN {IN_CATEGORIES} AND (a.status IS NULL OR (a.status IN ('unmatched', 'error', 'no_file') AND a.next_retry_at IS NOT NULL AND a.next_retry_at <= DATE '{AS_OF}')) ORDER BY i.added_at DESC, i.item_id DESC LIMIT 100"))
 def candidates_to_match(r: Roles) -> DataFrame:
-    return matching.eligible(r.items, r.attempts.where("item_id % 3 > 0"), CATEGORIES, as_of, 100)
+    return matching.eligible(r.items, r.attempts.where("item_id % 3 > 0"), CATEGORIES, F.lit(AS_OF).cast("date"), 100)
 
 
 IDS = [77, 5, 1200, 9, 311, 42]

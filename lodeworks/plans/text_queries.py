@@ -57,9 +57,6 @@ def tokenise_documents(r: Roles) -> DataFrame:
     return docs.select("doc_id", F.size(text.word_tokens(F.col("text"))).cast("bigint").alias("tokens"), F.size(text.content_tokens(F.col("text"))).cast("bigint").alias("telling"))
 
 
-NAMES = ["Some.Great_Show.1080p.x264.mp4", "dir/Some Great Show-720p.mkv", "OtherTitle-WEB-DL.avi", "plain name", "a\\b\\C d.480p.HEVC.ts", "Trailing.4k."]
-
-
 @query(with_views("items", "SELECT p_partkey AS item_id, array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), '.') AS key FROM part"))
 def scene_key_like(r: Roles) -> DataFrame:
     quality = F.element_at(F.lit([".1080p.x264.mp4", "-720p.mkv", " web-dl.avi", "", ".480p_hevc.ts"]), (F.col("p_partkey") % 5 + 1).cast("int"))

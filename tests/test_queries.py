@@ -37,3 +37,12 @@ def test_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 24
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
