@@ -110,7 +110,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 30, id_col: str = "doc_id",
     spans = stored(hashed_runs(_keyed(docs, id_col, text_col), min_words), "spans")
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     origin = spans.groupBy("span").agg(F.min(order).alias("origin"), F.max(order).alias("latest"), F.max("again").alias("any_again"))
-    origin = origin.where("origin < latest or any_again").select("span", "origin")
+    origin = stored(origin.where("origin < latest or any_again").select("span", "origin"), "origins")  # read anew, a frequent span's rows can be split
     late = spans.join(origin, "span").where(F.col("again") | (order > F.col("origin")))
     first = F.when(F.col("origin") > -(1 << 63), F.col("origin"))
     return late.select("doc_id", "text_key", "first", "last", first.alias("first_doc_id"))
