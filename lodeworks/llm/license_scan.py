@@ -119,7 +119,7 @@ def _literal_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame
 def training_set(corpus: DataFrame, max_negatives: int) -> DataFrame:
     """(family, words, held): template variants with words left out, and paragraphs that are none.
 
-    ``corpus``: (text); the first ``max_negatives`` documents by the hash of their text give negatives.
+    ``corpus``: (doc_id, text); about ``max_negatives`` documents, drawn by the hash of both, give negatives.
     """
     spark = corpus.sparkSession
     rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(NONE, t) for t in OTHER]
@@ -128,7 +128,8 @@ def training_set(corpus: DataFrame, max_negatives: int) -> DataFrame:
     # variant 0 is whole; others lack each word with one chance in twelve
     lacks = F.filter("words", lambda w, i: (F.col("variant") == 0) | (F.pmod(F.hash(w, i, "variant"), F.lit(12)) > 0))
     made = base.select("family", lacks.alias("words"), (F.col("variant") % 5 == 4).alias("held"))
-    chosen = corpus.where("text IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(max_negatives)
+    share = min(1.0, max_negatives / max(1, corpus.count()))
+    chosen = corpus.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))))
     plain = chosen.select(F.explode(F.split("text", r"[\n\r]+")).alias("paragraph")).where(~F.col("paragraph").rlike(ANCHOR))
     negative = plain.select(F.lit(NONE).alias("family"), words(F.col("paragraph")).alias("words"), (F.crc32(F.col("paragraph").cast("binary")) % 5 == 4).alias("held"))
     return made.unionAll(negative).where(F.size("words") > 0)
@@ -188,7 +189,7 @@ def scan(docs: DataFrame, max_negatives: int = 500, id_col: str = "doc_id", text
     identical rows; an empty table gives none. Further columns aren't read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classifier = Classifier(own.select("text"), max_negatives)
+    classifier = Classifier(own, max_negatives)
     lines = own.where(F.col("text").rlike(ANCHOR)).select("doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("paragraph", "notice"))
     named = lines.where(F.col("notice").rlike(ANCHOR)).withColumn("_words", words(F.col("notice")))
     named = named.withColumns({"grams": grams(F.col("_words")), "_pairs": pairs(F.col("_words"))})
