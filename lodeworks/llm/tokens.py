@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Different pieces that a worker keeps encoded, and bytes of text handled at a time.
-CACHE_PIECES, SLICE_BYTES = 700_000, 24_000_000
+CACHE_PIECES, SLICE_BYTES = 400_000, 8_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
