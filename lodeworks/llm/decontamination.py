@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval and exact confirmation.
 
 Documents are cut into blocks of words; a block's TF-IDF row has hashed features. A
-distributed randomised SVD of all blocks (a range pass and a power pass, whose sums per feature
-have fixed size) gives a latent space, which is whitened so that frequent words
+distributed randomised SVD of all blocks (one pass, whose sums per feature have fixed
+size) gives a latent space, which is whitened so that frequent words
 don't dominate it. Each two consecutive blocks make a passage; benchmark items whose latent cosine with
 it reaches ``cosine`` are candidates. The longest common subsequence of words decides: a high
 share of the item is a leak, a lower one is a paraphrase if the item's answer, its
@@ -21,28 +21,51 @@ from pyspark.sql import functions as F
 from lodeworks.llm.tokens import slices
 
 #: Hashed features, latent dimensions, words in a block, bytes of text and of benchmark items at a time.
-FEATURES, RANK, BLOCK, SLICE_BYTES, ITEM_BYTES = 8192, 64, 16, 1_000_000, 16_000_000
+FEATURES, RANK, BLOCK, SLICE_BYTES, ITEM_BYTES = 8192, 24, 16, 1_500_000, 16_000_000
+#: A word is rare if its feature is in at most this share of all blocks; items compared at a time.
+RARE, ITEMS_AT_ONCE = 0.02, 512
 _ANSWER = regex.compile(r"(?<=[.!?。！？])\s+|[\n\r]+")
 
 
-def word_table(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Different words, lower-cased runs of letters and digits; their numbers in all texts; words per text."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\pL\pN]+", " ")
-    parts = pc.split_pattern(pc.utf8_trim_whitespace(plain), " ")
+def plain_words(words: pa.Array) -> pa.Array:
+    """Words lower-cased, with letters and digits alone."""
+    return pc.replace_substring_regex(pc.utf8_lower(words.cast(pa.large_string())), r"[^\pL\pN]+", "")
+
+
+def word_table(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Plain words, the number among them of each word of all texts, and words per text.
+
+    Words end at ASCII blanks; those without letters and digits are left out. One plain word can have several numbers.
+    """
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = parts.flatten().dictionary_encode()
     counts = np.diff(parts.offsets.to_numpy())
-    names, at = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-    if "" in names:  # of texts without words
-        keep = at != names.index("")
-        owner = np.repeat(np.arange(len(counts)), counts)[keep]
-        counts, at = np.bincount(owner, minlength=len(counts)), at[keep]
+    names, at = plain_words(flat.dictionary), flat.indices.to_numpy()
+    full = pc.binary_length(names).to_numpy() > 0
+    if not full.all():
+        keep = full[at]
+        counts = np.add.reduceat(np.append(keep, False).astype(np.int64), np.cumsum(counts) - counts) * (counts > 0)
+        at = at[keep]
     return names, at, counts
 
 
-def features(names: list[str]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
+_POWERS = np.array([pow(1_000_003, k, 1 << 64) for k in range(1 << 12)], np.uint64)
+
 
-    return np.array([xxh64_intdigest(w) % FEATURES for w in names], np.int32)
+def features(names: pa.Array) -> np.ndarray:
+    """A hashed feature of each word."""
+    edges = np.frombuffer(names.buffers()[1], "<i8")[names.offset : names.offset + len(names) + 1]
+    if not len(names):
+        return np.zeros(0, np.int32)
+    letters = np.frombuffer(names.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]].astype(np.uint64)
+    start = edges[:-1] - edges[0]
+    size = np.diff(edges)
+    place = np.arange(len(letters)) - np.repeat(start, size)
+    terms = np.append((letters + np.uint64(1)) * _POWERS[place % len(_POWERS)], np.uint64(0))
+    total = np.where(size > 0, np.add.reduceat(terms, start), 0).astype(np.uint64)
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((total >> np.uint64(32)) % np.uint64(FEATURES)).astype(np.int32)
 
 
 def block_edges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +92,13 @@ def block_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         for _, _, _, counts, feature in _parts(batches):
             start, blocks = block_edges(counts)
             n += len(start)
-            owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(feature))))
-            total += np.bincount(np.unique(owner * FEATURES + feature) % FEATURES, minlength=FEATURES)
+            size = np.diff(np.append(start, len(feature)))
+            table = np.full((len(start), BLOCK), FEATURES, np.uint16)  # unused places hold one past the last feature
+            table[np.arange(BLOCK) < size[:, None]] = feature
+            table.sort(axis=1)
+            new = np.ones(table.shape, bool)
+            new[:, 1:] = table[:, 1:] != table[:, :-1]
+            total += np.bincount(table[new], minlength=FEATURES + 1)[:FEATURES]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate(([n], total)))], ["feature", "n"])
 
     rows = texts.mapInArrow(counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
@@ -80,10 +108,20 @@ def block_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[1:], int(out[0])
 
 
-def _power(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) of the TF-IDF matrix A of all blocks."""
-    spark, rank = texts.sparkSession, basis.shape[1]
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), (idf[:, None] * basis).astype(np.float32)))
+def _row_sums(weighted: np.ndarray, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each block's words."""
+    out, step = np.empty((len(start), weighted.shape[1]), np.float32), 4096
+    ends = np.append(start, len(feature))
+    for s in range(0, len(start), step):
+        some = ends[s : s + step + 1]
+        out[s : s + step] = np.add.reduceat(weighted[feature[some[0] : some[-1]]], some[:-1] - some[0], axis=0)
+    return out
+
+
+def _sketch(texts: DataFrame, idf: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """A'(A test) of the TF-IDF matrix A of all blocks."""
+    spark, rank = texts.sparkSession, test.shape[1]
+    shared = spark.sparkContext.broadcast((idf.astype(np.float32), (idf[:, None] * test).astype(np.float32)))
 
     def multiplied(batches):
         idf, weighted = shared.value
@@ -91,7 +129,7 @@ def _power(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
         for _, _, _, counts, feature in _parts(batches):
             start, _ = block_edges(counts)
             owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(feature))))
-            rows = np.add.reduceat(weighted[feature], start).T.copy()
+            rows = _row_sums(weighted, feature, start).T.astype(np.float64)
             for c in range(rank):
                 total[c] += np.bincount(feature, rows[c][owner], FEATURES)
         total *= idf
@@ -106,15 +144,23 @@ def _power(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_space(texts: DataFrame, seed: int = 7) -> np.ndarray:
-    """Weights (feature x dimension) that take term counts into the whitened latent space."""
+def latent_space(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (feature x dimension) that take term counts into the whitened latent space, and each feature's share of blocks.
+
+    The sketch Z = A'(A T) with a random orthonormal T gives A'A as Z (T'Z)^-1 Z', whose
+    singular values and vectors are those of a small matrix.
+    """
     seen, n = block_frequencies(texts)
     idf = np.log((1 + n) / (1 + seen)) + 0.1
-    q, _ = np.linalg.qr(_power(texts, idf, np.random.default_rng(seed).standard_normal((FEATURES, RANK))))
-    image = _power(texts, idf, q)
-    value, vector = np.linalg.eigh((q.T @ image + image.T @ q) / 2)  # squared singular values
-    keep = value > 1e-9 * max(value.max(), 1e-300)
-    return (idf[:, None] * (q @ vector[:, keep]) / np.sqrt(value[keep])).astype(np.float32)
+    test, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, RANK)))
+    image = _sketch(texts, idf, test)
+    core = test.T @ image
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    keep = value > 1e-7 * max(value.max(), 1e-300)
+    root = image @ (vector[:, keep] / np.sqrt(value[keep]))
+    left, size, _ = np.linalg.svd(root, full_matrices=False)  # sizes: singular values of A
+    keep = size > 1e-6 * max(size.max(initial=0), 1e-300)
+    return (idf[:, None] * left[:, keep] / size[keep]).astype(np.float32), seen / max(n, 1)
 
 
 def common_subsequence(masks: dict, size: int, words) -> int:
@@ -133,28 +179,55 @@ def common_subsequence(masks: dict, size: int, words) -> int:
 class Items:
     """A block of benchmark items, ready for search."""
 
-    def __init__(self, ids, texts, weights):
-        rows = []
+    def __init__(self, ids, texts, weights, shares, paraphrase):
+        self.ids, own, answers = [], [], []
         for i, t in zip(ids, texts):
-            _, at, _ = word_table(pa.array([t]))
-            if len(at):
-                rows.append((i, t))
-        self.ids = [i for i, _ in rows]
-        self.words, self.answers = [], []
-        for _, t in rows:
-            names, at, _ = word_table(pa.array([t]))
-            self.words.append([names[k] for k in at])
-            last = [s for s in _ANSWER.split(t) if s.strip()][-1]
-            names, at, _ = word_table(pa.array([last]))
-            self.answers.append([names[k] for k in at])
-        vectors = [weights[features(w)].sum(0) for w in self.words]
-        self.vectors = np.array(vectors, np.float32).reshape(len(rows), weights.shape[1])
+            words = self._words(t)
+            if words:
+                self.ids.append(i)
+                own.append(words)
+                answers.append(self._words([s for s in _ANSWER.split(t) if self._words(s)][-1]))
+        self.vocabulary = sorted({w for ws in own + answers for w in ws})
+        number = {w: k for k, w in enumerate(self.vocabulary)}
+        self.words = [[number[w] for w in ws] for ws in own]
+        self.answers = [[number[w] for w in ws] for ws in answers]
+        feature = features(pa.array(self.vocabulary, pa.large_string()))
+        # an item of which a share is found in order has so many of its rare words there, at least
+        rare = shares[feature] <= RARE
+        self.need = np.array([np.ceil(rare[w].sum() - (1 - paraphrase) * len(w) - 1e-9) for w in self.words], np.int32)
+        self.reach = np.array([-(-len(w) // BLOCK) for w in self.words], np.int64)
+        pairs = sorted({(w, k) for k, ws in enumerate(self.words) for w in ws if rare[w]})
+        self.holders = np.array([k for _, k in pairs], np.int64)
+        self.first_holder = np.searchsorted([w for w, _ in pairs], np.arange(len(self.vocabulary) + 1))
+        vectors = [weights[feature[w]].sum(0) for w in self.words]
+        self.vectors = np.array(vectors, np.float32).reshape(len(own), weights.shape[1])
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
 
-    def confirm(self, k: int, names: list[str], words: np.ndarray, leak: float, paraphrase: float, answer: float):
-        """(share of the item, share of the answer) in the given words, or None."""
-        some = {names[w] for w in set(words.tolist())}
-        item = self.words[k]
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        names, at, _ = word_table(pa.array([text]))
+        return names.take(pa.array(at)).to_pylist()
+
+    def enough_rare(self, number: np.ndarray, block: np.ndarray, blocks: int, low: int, high: int) -> np.ndarray:
+        """Whether, by item from low to high and block, there are as many rare words of the item around as a match needs."""
+        some = np.flatnonzero(number >= 0)
+        n = self.first_holder[number[some] + 1] - self.first_holder[number[some]]
+        at = np.repeat(self.first_holder[number[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, where = self.holders[at], np.repeat(block[some], n)
+        own = (item >= low) & (item < high)
+        hits = np.bincount((item[own] - low) * blocks + where[own], minlength=blocks * (high - low)).reshape(-1, blocks)
+        total = np.zeros((high - low, blocks + 1), np.int32)
+        np.cumsum(hits, axis=1, out=total[:, 1:])
+        out = np.empty((high - low, blocks), bool)
+        for reach in np.unique(self.reach[low:high]).tolist():
+            of = np.flatnonzero(self.reach[low:high] == reach)
+            wide = np.pad(total[of], ((0, 0), (reach, reach + 1)), "edge")
+            out[of] = wide[:, 2 * reach + 2 :] - wide[:, :blocks] >= self.need[low:high][of][:, None]
+        return out
+
+    def confirm(self, k: int, words: list[int], leak: float, paraphrase: float, answer: float):
+        """(share of the item, share of the answer) in the given words' numbers, or None."""
+        some, item = set(words), self.words[k]
         if sum(w in some for w in item) < paraphrase * len(item):
             return None
 
@@ -162,7 +235,7 @@ class Items:
             masks: dict = {}
             for place, w in enumerate(target):
                 masks[w] = masks.get(w, 0) | 1 << place
-            return common_subsequence(masks, len(target), (names[w] for w in words)) / max(1, len(target))
+            return common_subsequence(masks, len(target), words) / max(1, len(target))
 
         found = share(item)
         if found < paraphrase:
@@ -176,9 +249,11 @@ def search(docs: DataFrame, weights: np.ndarray, items: Items, cosine: float, le
 
     def matched(batches):
         weights, items = shared.value
+        vocabulary = pa.array(items.vocabulary, pa.large_string())
         for part, names, at, counts, feature in _parts(batches):
+            number = pc.fill_null(pc.index_in(names, vocabulary), -1).to_numpy()[at]
             start, blocks = block_edges(counts)
-            rows = np.add.reduceat(weights[feature], start)
+            rows = _row_sums(weights, feature, start)
             doc = np.repeat(np.arange(len(counts)), blocks)
             follows = np.append(doc[1:] == doc[:-1], False)
             passage = rows.copy()
@@ -187,7 +262,8 @@ def search(docs: DataFrame, weights: np.ndarray, items: Items, cosine: float, le
             first = np.cumsum(counts) - counts
             best: dict = {}
             reach: dict = {}
-            for b, k, c in _near(passage, items.vectors, cosine):
+            block = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
+            for b, k, c in _near(passage, items, number, block, cosine):
                 d = int(doc[b])
                 size = len(items.words[k])
                 low, high = max(int(first[d]), int(start[b]) - size), min(int(first[d] + counts[d]), int(start[b]) + 2 * BLOCK + size)
@@ -196,7 +272,7 @@ def search(docs: DataFrame, weights: np.ndarray, items: Items, cosine: float, le
                     if high <= reach[d, k]:
                         continue
                 reach[d, k] = high
-                got = items.confirm(k, names, at[low:high], leak, paraphrase, answer)
+                got = items.confirm(k, number[low:high].tolist(), leak, paraphrase, answer)
                 if got and got[0] > best.get((d, k), (0,))[0]:
                     best[d, k] = (*got, float(c), low - int(first[d]), high - int(first[d]))
             ids = part.column("doc_id").to_pylist()
@@ -208,19 +284,19 @@ def search(docs: DataFrame, weights: np.ndarray, items: Items, cosine: float, le
     return docs.mapInArrow(matched, "doc_id long, item_id long, item_share double, answer_share double, cosine double, first_word long, last_word long")
 
 
-def _near(passage: np.ndarray, items: np.ndarray, cosine: float):
-    """(passage, item, cosine) of candidates, by passage, from products of bounded size."""
-    step = max(1, 4_000_000 // max(1, len(items)))
-    for s in range(0, len(passage), step):
-        close = passage[s : s + step] @ items.T
-        b, k = np.nonzero(close >= cosine)
-        yield from zip((b + s).tolist(), k.tolist(), close[b, k].tolist())
+def _near(passage: np.ndarray, items: Items, number: np.ndarray, block: np.ndarray, cosine: float):
+    """(passage, item, cosine) of candidates that have the rare words a match needs; by item, then passage."""
+    for low in range(0, len(items.ids), ITEMS_AT_ONCE):
+        high = min(low + ITEMS_AT_ONCE, len(items.ids))
+        close = items.vectors[low:high] @ passage.T
+        k, b = np.nonzero((close >= cosine) & items.enough_rare(number, block, len(passage), low, high))
+        yield from zip(b.tolist(), (k + low).tolist(), close[k, b].tolist())
 
 
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    cosine: float = 0.4,
+    cosine: float = 0.45,
     leak: float = 0.8,
     paraphrase: float = 0.6,
     answer: float = 0.8,
@@ -234,13 +310,13 @@ def leaks(
     no rows. Further columns aren't read. Items go through in blocks of bounded size, each against all documents.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    weights = latent_space(own.select("text"))
+    weights, shares = latent_space(own.select("text"))
     wanted = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // ITEM_BYTES
     out = None
     for k in range(blocks):
         some = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found = search(own, weights, Items([r.item_id for r in some], [r.text for r in some], weights), cosine, leak, paraphrase, answer)
+        found = search(own, weights, Items([r.item_id for r in some], [r.text for r in some], weights, shares, paraphrase), cosine, leak, paraphrase, answer)
         out = found if out is None else out.unionAll(found)
     return out

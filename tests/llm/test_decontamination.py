@@ -8,10 +8,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def _words(text):
-    import pyarrow as pa
-
-    names, at, _ = decontamination.word_table(pa.array([text]))
-    return [names[k] for k in at]
+    return decontamination.Items._words(text)
 
 
 def test_subsequence_length_equals_the_table():
