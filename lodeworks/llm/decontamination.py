@@ -296,7 +296,7 @@ def _near(passage: np.ndarray, items: Items, number: np.ndarray, block: np.ndarr
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    cosine: float = 0.45,
+    cosine: float = 0.3,
     leak: float = 0.8,
     paraphrase: float = 0.6,
     answer: float = 0.8,
