@@ -1,67 +1,94 @@
 """Removal of sentence spans that occur before, in the same or another document.
 
-A sentence ends at a stop, a line end or before a capital. From each sentence on, and
-up to each sentence, the shortest run of consecutive sentences that holds ``min_words``
+A sentence ends at a stop, a line end or before a capital. Longer ones are cut further, after words
+whose checksum is the least of five (of equal ones, each), so that a passage that begins and ends within other sentences is
+cut at the same words in all its copies. From each such part on, and
+up to each, the shortest run of consecutive parts that holds ``min_words``
 words is hashed. Runs are joined over all documents; every occurrence but the first
-of a run loses its sentences. Runs from both sides cover each sentence of a repeated passage
+of a run loses its parts. Runs from both sides cover each part of a repeated passage
 that holds as many words.
 """
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from lodeworks.llm.common import stored
 from lodeworks.llm.tokens import slices
 
 _BREAK = regex.compile(r"""[.!?。！？]+["'»”)\]]*\s+|[。！？]+|\s*[\n\r  ]\s*|\s+(?=\p{Lu})""")
+_WORD = regex.compile(r"(\S+)\s*")
 
 
-def sentence_ends(text: str) -> list[int]:
-    """Where each sentence ends, with the blanks behind it; together they cover the text."""
+def _sentences(text: str) -> list[int]:
     ends = [m.end() for m in _BREAK.finditer(text)]
     if text and (not ends or ends[-1] < len(text)):
         ends.append(len(text))
     return ends
 
 
-def runs(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(hash, first sentence, last sentence, words) of each different run."""
-    from xxhash import xxh3_64_intdigest
+class _Ranks(dict):
+    """Checksums of words, kept for some of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 16:
+            self.clear()
+        self[word] = out = crc32(word.encode())
+        return out
+
+
+_RANK = _Ranks()
+
+
+def _inner_cuts(words: list[str], sizes: list[int]) -> np.ndarray:
+    """Words after which a sentence is cut, as counts of words: those whose checksum none of two on each side in it is below."""
+    rank = np.fromiter(map(_RANK.__getitem__, words), np.uint32, len(words))
+    if len(rank) < 5:
+        return np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    mid = rank[2:-2]
+    least = (mid <= rank[:-4]) & (mid <= rank[1:-3]) & (mid <= rank[3:-1]) & (mid <= rank[4:]) & (owner[4:] == owner[:-4])
+    return np.flatnonzero(least) + 3
+
+
+def sentence_ends(text: str) -> list[int]:
+    """Where each sentence or part of one ends, with the blanks behind it; together they cover the text."""
+    out, words, sizes, at, low = _sentences(text), [], [], [], 0
+    for e in out:
+        found = list(_WORD.finditer(text, low, e))
+        words += [m[1].lower() for m in found]
+        at += [m.end() for m in found]
+        sizes.append(len(found))
+        low = e
+    return sorted([*out, *(at[c - 1] for c in _inner_cuts(words, sizes).tolist())])
+
 
-    ends = sentence_ends(text)
-    plain, words, at = [], [0], [0]
-    low = 0
-    for e in ends:
+def runs(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last sentence of each different run, in the order of the text."""
+    plain, sizes, low = [], [], 0
+    for e in _sentences(text):
         w = text[low:e].lower().split()
         low = e
         plain += w
-        words.append(len(plain))
-    for w in plain:
-        at.append(at[-1] + len(w.encode()) + 1)
+        sizes.append(len(w))
+    words = np.concatenate(([0], np.sort(np.concatenate((np.cumsum(sizes, dtype=np.int64), _inner_cuts(plain, sizes))))))
+    n = len(words) - 1
+    j = np.searchsorted(words, words[:-1] + min_words) - 1  # shortest run from each on
+    i = np.searchsorted(words, words[1:] - min_words, "right") - 1  # shortest run up to each
+    own = np.arange(n)
+    from_, to = j < n, i >= 0
+    first, last = np.divmod(np.unique(np.concatenate((own[from_] * n + j[from_], i[to] * n + own[to]))), max(n, 1))
     blob = (" ".join(plain) + " ").encode()
-    n, found = len(ends), {}
-    j = 0
-    for i in range(n):  # shortest run from i on
-        j = max(j, i)
-        while j < n and words[j + 1] - words[i] < min_words:
-            j += 1
-        if j == n:
-            break
-        found[i, j] = None
-    i = n - 1
-    for j in range(n - 1, -1, -1):  # shortest run up to j
-        i = min(i, j)
-        while i >= 0 and words[j + 1] - words[i] < min_words:
-            i -= 1
-        if i < 0:
-            break
-        found[i, j] = None
-    return [(xxh3_64_intdigest(blob[at[words[i]] : at[words[j + 1]]]), i, j, words[j + 1] - words[i]) for i, j in found]
+    at = np.concatenate(([0], np.flatnonzero(np.frombuffer(blob, np.uint8) == 32) + 1))[words]
+    span = [xxh3_64_intdigest(blob[a:b]) for a, b in zip(at[first].tolist(), at[last + 1].tolist())]
+    return np.array(span, np.uint64), first, last
 
 
 def hashed_runs(keyed: DataFrame, min_words: int) -> DataFrame:
@@ -70,24 +97,24 @@ def hashed_runs(keyed: DataFrame, min_words: int) -> DataFrame:
 
     def made(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
-                owner, rows = [], []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    seen = set()
-                    for h, i, j, _ in sorted(runs(text or "", min_words), key=lambda r: r[1:3]):
-                        rows.append((h, i, j, h in seen))
-                        seen.add(h)
-                        owner.append(k)
-                table = np.array(rows, np.uint64).reshape(-1, 4)
-                take = pa.array(owner, pa.int64())
+            for part in slices(batch, "text", 1_000_000):
+                found = [runs(text or "", min_words) for text in part.column("text").to_pylist()]
+                if not found:
+                    continue
+                again = []
+                for span, _, _ in found:
+                    new = np.unique(span, return_index=True)[1]
+                    again.append(np.ones(len(span), bool))
+                    again[-1][new] = False
+                take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(take),
                         part.column("text_key").take(take),
-                        pa.array(table[:, 0].view(np.int64)),
-                        pa.array(table[:, 1].astype(np.int32)),
-                        pa.array(table[:, 2].astype(np.int32)),
-                        pa.array(table[:, 3].astype(bool)),
+                        pa.array(np.concatenate([f[0] for f in found]).view(np.int64)),
+                        pa.array(np.concatenate([f[1] for f in found]).astype(np.int32)),
+                        pa.array(np.concatenate([f[2] for f in found]).astype(np.int32)),
+                        pa.array(np.concatenate(again)),
                     ],
                     ["doc_id", "text_key", "span", "first", "last", "again"],
                 )

@@ -1,4 +1,5 @@
 import collections
+import random
 
 from lodeworks.llm import queries, sentence_spans
 
@@ -65,3 +66,30 @@ def test_odd_rows_and_empty_table(spark, odd_docs):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((d, want.get((d, t), t)) for d, t in rows), key=str)
     assert sentence_spans.dedup(odd_docs.limit(0)).count() == 0
     assert sentence_spans.removed_spans(odd_docs.limit(0)).count() == 0
+
+
+def test_passages_cut_at_random_words(spark):
+    """Of passages of 51 to 120 words, set between words of two other documents each, all are found."""
+    r = random.Random(3)
+    pool = ["".join(r.choice("aeioubdfglmnrst") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(w + (r.choice([".", ",", ""]) if r.random() < 0.1 else "") for w in r.choices(pool, k=n))
+
+    rows, passages = [], []
+    for k in range(200):
+        passages.append(prose(r.choice([51, 55, 60, 80, 120])))
+        rows += [(2 * k + n, f"{prose(90)} {passages[-1]} {prose(90)}") for n in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: x for x in sentence_spans.removed_spans(docs).collect()}
+    assert set(found) == {2 * k + 1 for k in range(200)}
+    text = dict(rows)
+    for d, x in found.items():
+        assert x.first_doc_ids == [d - 1] and x.removed.strip() in passages[d // 2] and x.removed == text[d][x.begin : x.end]
+        assert len(x.removed.split()) >= 30
+    assert sum(len(x.removed) for x in found.values()) > 0.85 * sum(map(len, passages))
+
+
+def test_one_word_repeated_is_found(spark):
+    docs = spark.createDataFrame([(1, "Start of it " + "insh " * 60), (2, "other words here " + "insh " * 60)], "doc_id long, text string")
+    assert {x.doc_id for x in sentence_spans.removed_spans(docs).collect()} >= {2}
