@@ -24,29 +24,36 @@ from lodeworks.llm.tokens import slices
 FEATURES, RANK, BLOCK, SLICE_BYTES, ITEM_BYTES = 8192, 24, 16, 1_500_000, 16_000_000
 #: A word is rare if its feature is in at most this share of all blocks; items compared at a time.
 RARE, ITEMS_AT_ONCE = 0.02, 512
+_ALONE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _ANSWER = regex.compile(r"(?<=[.!?。！？])\s+|[\n\r]+")
 
 
-def plain_words(words: pa.Array) -> pa.Array:
-    """Words lower-cased, with letters and digits alone."""
-    return pc.replace_substring_regex(pc.utf8_lower(words.cast(pa.large_string())), r"[^\pL\pN]+", "")
+def plain_words(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all tokens, lower-cased runs of letters and digits, and how many each token has.
 
+    Letters of scripts without blanks are words of their own.
+    """
+    plain = pc.utf8_lower(tokens.cast(pa.large_string()))
+    plain = pc.replace_substring_regex(plain, r"[^\pL\pN]+", " ")
+    plain = pc.replace_substring_regex(plain, _ALONE, r" \0 ")
+    parts = pc.ascii_split_whitespace(plain)  # blanks at either end give an empty part
+    words, owner = parts.flatten(), np.repeat(np.arange(len(tokens)), np.diff(parts.offsets.to_numpy()))
+    full = pc.binary_length(words).to_numpy() > 0
+    return words.filter(pa.array(full)), np.bincount(owner[full], minlength=len(tokens))
 
-def word_table(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Plain words, the number among them of each word of all texts, and words per text.
 
-    Words end at ASCII blanks; those without letters and digits are left out. One plain word can have several numbers.
-    """
+def word_table(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different plain words, the number among them of each word of all texts, and words per text."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = parts.flatten().dictionary_encode()
-    counts = np.diff(parts.offsets.to_numpy())
-    names, at = plain_words(flat.dictionary), flat.indices.to_numpy()
-    full = pc.binary_length(names).to_numpy() > 0
-    if not full.all():
-        keep = full[at]
-        counts = np.add.reduceat(np.append(keep, False).astype(np.int64), np.cumsum(counts) - counts) * (counts > 0)
-        at = at[keep]
-    return names, at, counts
+    words, size = plain_words(flat.dictionary)
+    named = words.dictionary_encode()
+    token = flat.indices.to_numpy()
+    n = size[token]  # words of each token of the texts
+    ends = np.concatenate(([0], np.cumsum(n)))
+    first = (np.cumsum(size) - size)[token]
+    at = named.indices.to_numpy()[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+    return named.dictionary, at, np.diff(ends[parts.offsets.to_numpy()])
 
 
 _POWERS = np.array([pow(1_000_003, k, 1 << 64) for k in range(1 << 12)], np.uint64)

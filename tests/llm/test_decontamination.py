@@ -55,3 +55,15 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, items):
     assert decontamination.leaks(odd_docs, items[0]).count() == 0
     assert decontamination.leaks(odd_docs.limit(0), items[0]).count() == 0
     assert decontamination.leaks(odd_docs, items[0].limit(0)).count() == 0
+
+
+def test_words_end_at_punctuation_and_other_blanks(spark, items, docs):
+    assert _words("one two—three four.Five six") == ["one", "two", "three", "four", "five", "six"]
+    assert _words("漢字です。abc") == ["漢", "字", "で", "す", "abc"] and _words(" ... ") == [] and _words("") == []
+    text = items[1]
+    cjk = "北港的老瑪莉寫了一首關於冬天風暴的長詩那是誰寫的呢答案是瑪莉水壺"
+    rows = [(r.doc_id + 100, r.text) for r in docs.collect()]
+    rows += [(1, f"Filler here {text.replace(' ', '—')} more"), (2, text.replace(" ", "\u00a0")), (4, text.replace(" ", "\u3000")), (3, f"前文文字{cjk}後文文字")]
+    table = items[0].unionAll(spark.createDataFrame([(9, cjk)], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    assert found == {(1, 1), (2, 1), (4, 1), (3, 9)}
