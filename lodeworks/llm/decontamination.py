@@ -1,10 +1,11 @@
-"""Benchmark decontamination by latent semantic retrieval and exact confirmation.
+"""Benchmark decontamination by a latent semantic space, an exact rare-word bound and exact confirmation.
 
 Documents are cut into blocks of words; a block's TF-IDF row has hashed features. A
 distributed randomised SVD of all blocks (one pass, whose sums per feature have fixed
 size) gives a latent space, which is whitened so that frequent words
-don't dominate it. Each two consecutive blocks make a passage; benchmark items whose latent cosine with
-it reaches ``cosine`` are candidates. The longest common subsequence of words decides: a high
+don't dominate it. Each two consecutive blocks make a passage, whose latent cosine with an item is returned.
+It decides nothing, since passages with short items can fall below any limit: candidates are all passages around which there are as many of
+an item's rare words as a match has at least. The longest common subsequence of words decides: a high
 share of the item is a leak, a lower one is a paraphrase if the item's answer, its
 last sentence, is there as well.
 """
@@ -22,8 +23,9 @@ from lodeworks.llm.tokens import slices
 
 #: Hashed features, latent dimensions, words in a block, bytes of text and of benchmark items at a time.
 FEATURES, RANK, BLOCK, SLICE_BYTES, ITEM_BYTES = 8192, 24, 16, 1_500_000, 16_000_000
-#: A word is rare if its feature is in at most this share of all blocks; items compared at a time.
-RARE, ITEMS_AT_ONCE = 0.02, 512
+#: A word is rare if its feature is in at most this share of all blocks, or more where places with enough rare words aren't
+#: so unlikely (a negative logarithm); items compared at a time.
+RARE, UNLIKELY, ITEMS_AT_ONCE = 0.02, 7.0, 512
 _ALONE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _ANSWER = regex.compile(r"(?<=[.!?。！？])\s+|[\n\r]+")
 
@@ -183,6 +185,27 @@ def common_subsequence(masks: dict, size: int, words) -> int:
     return size - state.bit_count()
 
 
+def need(rare, size: int, paraphrase: float):
+    """How many of an item's rare words are there at least where a share of the item is found in order."""
+    return np.ceil(rare - (1 - paraphrase) * size - 1e-9)
+
+
+def rarity(shares: np.ndarray, different: np.ndarray, blocks: int, paraphrase: float) -> float:
+    """Up to which share of all blocks an item's words count as rare: RARE, or more where too many places would have the needed ones.
+
+    ``shares``: of the item's words; ``different``: of its different words; ``blocks``: of a place.
+    """
+    best = (-1.0, RARE)
+    for t in [RARE, *np.unique(shares[shares > RARE]).tolist()]:
+        least = float(need((shares <= t).sum(), len(shares), paraphrase))
+        usual = max(1e-9, blocks * float(different[different <= t].sum()))
+        unlikely = least * np.log(least / usual) - least + usual if least > usual else 0.0  # bound on a Poisson tail
+        best = max(best, (unlikely, t))
+        if t == RARE and unlikely >= UNLIKELY:
+            break
+    return best[1] if best[0] > 0 else float(shares.max())
+
+
 class Items:
     """A block of benchmark items, ready for search."""
 
@@ -200,10 +223,11 @@ class Items:
         self.answers = [[number[w] for w in ws] for ws in answers]
         feature = features(pa.array(self.vocabulary, pa.large_string()))
         # an item of which a share is found in order has so many of its rare words there, at least
-        rare = shares[feature] <= RARE
-        self.need = np.array([np.ceil(rare[w].sum() - (1 - paraphrase) * len(w) - 1e-9) for w in self.words], np.int32)
+        share = shares[feature]
         self.reach = np.array([-(-len(w) // BLOCK) for w in self.words], np.int64)
-        pairs = sorted({(w, k) for k, ws in enumerate(self.words) for w in ws if rare[w]})
+        limit = [rarity(share[w], share[np.unique(w)], 2 * r + 2, paraphrase) for w, r in zip(self.words, self.reach.tolist())]
+        self.need = np.array([need((share[w] <= t).sum(), len(w), paraphrase) for w, t in zip(self.words, limit)], np.int32)
+        pairs = sorted({(w, k) for k, ws in enumerate(self.words) for w in ws if share[w] <= limit[k]})
         self.holders = np.array([k for _, k in pairs], np.int64)
         self.first_holder = np.searchsorted([w for w, _ in pairs], np.arange(len(self.vocabulary) + 1))
         vectors = [weights[feature[w]].sum(0) for w in self.words]
@@ -251,7 +275,7 @@ class Items:
         return (found, said) if found >= leak or said >= answer else None
 
 
-def search(docs: DataFrame, weights: np.ndarray, items: Items, cosine: float, leak: float, paraphrase: float, answer: float) -> DataFrame:
+def search(docs: DataFrame, weights: np.ndarray, items: Items, leak: float, paraphrase: float, answer: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((weights, items))
 
     def matched(batches):
@@ -260,17 +284,12 @@ def search(docs: DataFrame, weights: np.ndarray, items: Items, cosine: float, le
         for part, names, at, counts, feature in _parts(batches):
             number = pc.fill_null(pc.index_in(names, vocabulary), -1).to_numpy()[at]
             start, blocks = block_edges(counts)
-            rows = _row_sums(weights, feature, start)
             doc = np.repeat(np.arange(len(counts)), blocks)
-            follows = np.append(doc[1:] == doc[:-1], False)
-            passage = rows.copy()
-            passage[follows] += rows[1:][follows[:-1]]
-            passage /= np.maximum(np.linalg.norm(passage, axis=1, keepdims=True), 1e-12)
             first = np.cumsum(counts) - counts
             best: dict = {}
             reach: dict = {}
             block = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
-            for b, k, c in _near(passage, items, number, block, cosine):
+            for b, k, c in _near(weights, feature, start, doc, items, number, block):
                 d = int(doc[b])
                 size = len(items.words[k])
                 low, high = max(int(first[d]), int(start[b]) - size), min(int(first[d] + counts[d]), int(start[b]) + 2 * BLOCK + size)
@@ -291,13 +310,25 @@ def search(docs: DataFrame, weights: np.ndarray, items: Items, cosine: float, le
     return docs.mapInArrow(matched, "doc_id long, item_id long, item_share double, answer_share double, cosine double, first_word long, last_word long")
 
 
-def _near(passage: np.ndarray, items: Items, number: np.ndarray, block: np.ndarray, cosine: float):
-    """(passage, item, cosine) of candidates that have the rare words a match needs; by item, then passage."""
+def _passages(some: np.ndarray, weights: np.ndarray, feature: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Unit vectors of the given blocks, each with the one that follows in its document."""
+    ends = np.append(start, len(feature))
+    follows = np.append(doc[1:] == doc[:-1], False)[some]
+    size = ends[some + 1 + follows] - start[some]
+    first = np.cumsum(size) - size
+    words = np.repeat(start[some] - first, size) + np.arange(size.sum())
+    out = np.add.reduceat(weights[feature[words]], first, axis=0) if len(some) else np.zeros((0, weights.shape[1]), np.float32)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def _near(weights: np.ndarray, feature: np.ndarray, start: np.ndarray, doc: np.ndarray, items: Items, number: np.ndarray, block: np.ndarray):
+    """(passage, item, cosine) of all passages with the rare words a match needs, whatever the cosine; by item, then passage."""
     for low in range(0, len(items.ids), ITEMS_AT_ONCE):
         high = min(low + ITEMS_AT_ONCE, len(items.ids))
-        close = items.vectors[low:high] @ passage.T
-        k, b = np.nonzero((close >= cosine) & items.enough_rare(number, block, len(passage), low, high))
-        yield from zip(b.tolist(), (k + low).tolist(), close[k, b].tolist())
+        k, b = np.nonzero(items.enough_rare(number, block, len(start), low, high))
+        some, at = np.unique(b, return_inverse=True)
+        close = np.einsum("ij,ij->i", items.vectors[k + low], _passages(some, weights, feature, start, doc)[at])
+        yield from zip(b.tolist(), (k + low).tolist(), close.tolist())
 
 
 def leaks(
@@ -312,6 +343,8 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, item_share, answer_share, cosine, first_word, last_word) of each document that holds an item.
 
+    ``cosine`` leaves nothing out: a passage's latent cosine is returned, and passages below it are compared as well.
+
     The place is a range of the document's words around the item. Null and empty texts
     hold nothing and are no items; identical rows give identical rows; an empty table on either side gives
     no rows. Further columns aren't read. Items go through in blocks of bounded size, each against all documents.
@@ -324,6 +357,6 @@ def leaks(
     out = None
     for k in range(blocks):
         some = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found = search(own, weights, Items([r.item_id for r in some], [r.text for r in some], weights, shares, paraphrase), cosine, leak, paraphrase, answer)
+        found = search(own, weights, Items([r.item_id for r in some], [r.text for r in some], weights, shares, paraphrase), leak, paraphrase, answer)
         out = found if out is None else out.unionAll(found)
     return out

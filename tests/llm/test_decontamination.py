@@ -67,3 +67,26 @@ def test_words_end_at_punctuation_and_other_blanks(spark, items, docs):
     table = items[0].unionAll(spark.createDataFrame([(9, cjk)], "item_id long, text string"))
     found = {(r.doc_id, r.item_id) for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
     assert found == {(1, 1), (2, 1), (4, 1), (3, 9)}
+
+
+def test_short_items_within_other_text_are_found(spark):
+    """Items of 8 to 16 words, verbatim, or with a third of the words changed and the answer kept, at random places."""
+    r = random.Random(2)
+    docs = [t.text for t in spark.read.parquet(f"{SF}/documents.parquet").select("text").orderBy("doc_id").limit(600).collect()]
+    pool = sorted({w for t in docs for w in _words(t)})
+    common = sorted(pool, key=lambda w: (-sum(w in t for t in docs[:60]), w))[:300]
+    items, rows = [], []
+    for k in range(60):
+        size = r.randint(8, 16)
+        words = r.choices(common if k % 2 else pool, k=size)
+        items.append((k, " ".join(words[:-3]) + ". " + " ".join(words[-3:])))
+        drop = set(r.sample(range(size - 3), size // 3)) if k % 3 == 0 else set()
+        host = docs[10 * k].split()
+        at = r.randint(0, len(host))
+        rows.append((k, " ".join([*host[:at], *("zzz" if n in drop else w for n, w in enumerate(words)), *host[at:]])))
+    rows += [(1000 + n, t) for n, t in enumerate(docs)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()
+    assert {(d, d) for d in range(60)} <= {(x.doc_id, x.item_id) for x in got}
+    # with production parameters, such places have low cosines
+    assert min(x.cosine for x in got if x.doc_id == x.item_id) < 0.3
