@@ -1,6 +1,6 @@
 """Licence detection in paragraphs with a trained classifier and template comparison.
 
-A paragraph that names a licence, copyright or permission is classified by a sparse (elastic-net)
+Every paragraph with a word is classified by a sparse (elastic-net)
 logistic regression over hashed word n-grams, trained on variants of the templates below and on
 paragraphs of the corpus. A family counts if its probability reaches the calibrated
 threshold and if one of its templates' word pairs are largely in the paragraph; what looks like a licence otherwise
@@ -130,7 +130,7 @@ def training_set(corpus: DataFrame, max_negatives: int) -> DataFrame:
     made = base.select("family", lacks.alias("words"), (F.col("variant") % 5 == 4).alias("held"))
     share = min(1.0, max_negatives / max(1, corpus.count()))
     chosen = corpus.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))))
-    plain = chosen.select(F.explode(F.split("text", r"[\n\r]+")).alias("paragraph")).where(~F.col("paragraph").rlike(ANCHOR))
+    plain = chosen.select(F.explode(F.split("text", r"[\n\r]+")).alias("paragraph")).where(~F.col("paragraph").rlike(ANCHOR))  # those with such words may be notices
     negative = plain.select(F.lit(NONE).alias("family"), words(F.col("paragraph")).alias("words"), (F.crc32(F.col("paragraph").cast("binary")) % 5 == 4).alias("held"))
     return made.unionAll(negative).where(F.size("words") > 0)
 
@@ -190,8 +190,8 @@ def scan(docs: DataFrame, max_negatives: int = 500, id_col: str = "doc_id", text
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     classifier = Classifier(own, max_negatives)
-    lines = own.where(F.col("text").rlike(ANCHOR)).select("doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("paragraph", "notice"))
-    named = lines.where(F.col("notice").rlike(ANCHOR)).withColumn("_words", words(F.col("notice")))
+    lines = own.select("doc_id", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("paragraph", "notice"))
+    named = lines.withColumn("_words", words(F.col("notice"))).where(F.size("_words") > 0)
     named = named.withColumns({"grams": grams(F.col("_words")), "_pairs": pairs(F.col("_words"))})
     found = classifier.classified(named).where("_none < 0.5").withColumn("_similarity", similarity(F.col("_pairs"), F.col("_family")))
     sure = (F.col("_probability") >= classifier.threshold) & (F.col("_similarity") >= MIN_SIMILARITY)

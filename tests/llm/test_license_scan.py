@@ -41,3 +41,10 @@ def test_variants_unknown_and_odd_rows(spark, odd_docs):
     assert [g for g in got if g[0] == 7] == [(7, 0, "apache-2.0")]
     assert license_scan.scan(odd_docs).count() == 0
     assert license_scan.scan(odd_docs.limit(0)).count() == 0
+
+
+def test_notices_without_a_keyword(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(1_000_001, "Released under BSD 3-Clause."), (1_000_003, "Some text.\nThis project is under Apache 2.0")]
+    got = {r.doc_id for r in license_scan.scan(docs.unionAll(spark.createDataFrame(rows, docs.schema))).collect()}
+    assert got >= {r[0] for r in rows}
