@@ -25,7 +25,8 @@ LANES = np.uint64(0x0101010101010101)
 
 def words_joined(texts: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All words, A-Z lower-cased, each with a blank after it; their sizes; words per text."""
-    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    texts = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string())  # in this order: lower-casing a slice that has been cast is wrong
+    texts = pc.ascii_trim_whitespace(texts)
     parts = pc.ascii_split_whitespace(texts)
     flat = parts.flatten()
     counts = np.diff(parts.offsets.to_numpy())

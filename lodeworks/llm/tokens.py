@@ -127,10 +127,14 @@ class BpeEncoder:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """The batch in slices of bounded text size; a longer text is a slice of its own."""
+    """The batch in slices of bounded text size; a longer text is a slice of its own.
+
+    Each slice is a copy whose buffers begin with it: some Arrow kernels read a slice of another
+    array's buffers from a wrong place once it has been cast.
+    """
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = np.cumsum(size) // limit
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
-            yield batch.slice(a, b - a)
+            yield batch.take(pa.array(np.arange(a, b)))
