@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import stored
@@ -118,19 +118,27 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int):
 
 
 def tile_pairs(prints: DataFrame, radius: int) -> DataFrame:
-    """(left, right): the fingerprints of every two tiles that the population counts leave."""
+    """(one, other, left, right): every two tiles that the population counts leave, with their fingerprints.
+
+    Which tiles meet follows from the sizes of the cells of equal counts, at most 33 * 33. Each tile is sent
+    once to each pair it is in, so a join key has one row on either side.
+    """
     cells = prints.select("fingerprint", F.bit_count(F.shiftrightunsigned("fingerprint", 32)).alias("high"), F.bit_count(F.col("fingerprint").bitwiseAND(0xFFFFFFFF)).alias("low"))
     sizes = cells.groupBy("high", "low").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    # at most 33 * 33 cells
-    placed = cells.join(F.broadcast(sizes), ["high", "low"]).withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")))
-    tiles = placed.groupBy("high", "low", "tile").agg(F.collect_list("fingerprint").alias("prints"))
-    tiles = stored(tiles, "tiles")
-    steps = [(h, w) for h in range(radius + 1) for w in range(-radius, radius + 1) if h + abs(w) <= radius and (h > 0 or w >= 0)]
-    step = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")) for h, w in steps]))
-    left = tiles.select("high", "low", F.col("tile").alias("left_tile"), F.col("prints").alias("left"), step.alias("step"))
-    left = left.select((F.col("high") + F.col("step.h")).alias("high"), (F.col("low") + F.col("step.w")).alias("low"), "left_tile", "left", ((F.col("step.h") == 0) & (F.col("step.w") == 0)).alias("own"))
-    right = tiles.select("high", "low", F.col("tile").alias("right_tile"), F.col("prints").alias("right"))
-    return left.join(right, ["high", "low"]).where("not own or left_tile <= right_tile").select("left", "right")
+    before = Window.orderBy("high", "low").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = stored(sizes.withColumn("first", F.coalesce(F.sum("tiles").over(before), F.lit(0))), "cells")
+    tile = F.col("first") + F.pmod(F.xxhash64("fingerprint"), F.col("tiles"))
+    placed = cells.join(F.broadcast(sizes), ["high", "low"]).select("high", "low", tile.alias("tile"), "fingerprint")
+    tiles = stored(placed.groupBy("high", "low", "tile").agg(F.collect_list("fingerprint").alias("prints")), "tiles")
+    there = sizes.select(F.col("high").alias("_high"), F.col("low").alias("_low"), F.col("first").alias("_first"), F.col("tiles").alias("_tiles"))
+    apart = F.abs(F.col("high") - F.col("_high")) + F.abs(F.col("low") - F.col("_low"))
+    meets = sizes.join(F.broadcast(there), apart <= radius).groupBy("high", "low")
+    meets = meets.agg(F.collect_list(F.struct(F.col("_first").alias("first"), F.col("_tiles").alias("tiles"))).alias("met"))
+    partner = F.explode(F.flatten(F.transform("met", lambda m: F.sequence(m["first"], m["first"] + m["tiles"] - 1))))
+    sent = tiles.join(F.broadcast(meets), ["high", "low"]).select("tile", "prints", partner.alias("partner"))
+    left = sent.where("partner >= tile").select(F.col("tile").alias("one"), F.col("partner").alias("other"), F.col("prints").alias("left"))
+    right = sent.where("partner <= tile").select(F.col("partner").alias("one"), F.col("tile").alias("other"), F.col("prints").alias("right"))
+    return left.join(right, ["one", "other"])
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
@@ -143,7 +151,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
                 a, b = near_pairs(*sides, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return tile_pairs(prints, radius).mapInArrow(compared, "a long, b long").where("a <> b")
+    return tile_pairs(prints, radius).select("left", "right").mapInArrow(compared, "a long, b long").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,6 +167,6 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     prints = own.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     labels = components(links(prints.select("fingerprint"), radius), "a", "b")
     named = prints.join(labels, prints.fingerprint == labels.node, "left").select("fingerprint", "first_id", F.coalesce("label", "fingerprint").alias("label"))
-    groups = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    groups = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "groups")  # read anew, a large group's rows can be split
     by_print = named.join(groups, "label").select("fingerprint", "component_id")
     return own.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
