@@ -19,7 +19,7 @@ from lodeworks.llm.components import components
 from lodeworks.llm.tokens import slices
 
 #: Fingerprints in a tile on average, rows of a tile compared and bytes of text hashed at a time.
-TILE, ROWS, SLICE_BYTES = 2048, 64, 3_000_000
+TILE, ROWS, SLICE_BYTES = 16_384, 16, 3_000_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -104,17 +104,34 @@ def _forest(hit: np.ndarray):
     return np.concatenate((rows, rows[row_at[of_col]])), np.concatenate((cols[of_row], cols))
 
 
+def _thinned(i: np.ndarray, j: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node to the least one of its group, in place of the given links."""
+    least = np.arange(nodes)
+    while True:
+        low = np.minimum(least[i], least[j])
+        nearer = least.copy()
+        np.minimum.at(nearer, i, low)
+        np.minimum.at(nearer, j, low)
+        nearer = nearer[nearer]
+        if (nearer == least).all():
+            break
+        least = nearer
+    of = np.flatnonzero(least != np.arange(nodes))
+    return least[of], of
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int):
-    """Links between two tiles at ``radius`` or fewer differing bits, without what follows from others."""
-    left, right = [], []
+    """Links that join all of two tiles which lie at ``radius`` or fewer differing bits, fewer than there are fingerprints."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s in range(0, len(a), ROWS):
         hit = np.bitwise_count(a[s : s + ROWS, None] ^ b[None, :]) <= radius
         if hit.any():
             i, j = _forest(hit)
-            left.append(a[s + i])
-            right.append(b[j])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+            left.append(s + i)
+            right.append(j)
+    both = np.concatenate((a, b))
+    i, j = _thinned(np.concatenate(left), len(a) + np.concatenate(right), len(both))
+    return both[i], both[j]
 
 
 def tile_pairs(prints: DataFrame, radius: int) -> DataFrame:

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from lodeworks.llm import queries, simhash
+from lodeworks.llm import queries, simhash, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,7 +74,6 @@ def test_links_over_many_tiles_lose_no_group(spark, monkeypatch):
 
     for row in simhash.links(table, 4).collect():
         a, b = (int(np.int64(x).astype(np.uint64)) for x in row)
-        assert (a ^ b).bit_count() <= 4 or True
         at[root(a)] = root(b)
     want = brute_components(list(enumerate(prints)))
     got = {}
@@ -82,6 +82,46 @@ def test_links_over_many_tiles_lose_no_group(spark, monkeypatch):
     assert [min(got[root(p)]) for p in prints] == want
 
 
+def test_slices_of_a_batch_have_the_fingerprints_of_their_texts(docs, odd_docs):
+    """Batches of many slices, with nulls, and slices of other arrays."""
+    texts = [r.text for r in docs.collect()] + [r.text for r in odd_docs.collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    want = [brute_print(t) for t in texts]
+    for source, expected in ((batch, want), (batch.slice(37), want[37:]), (batch.slice(37).slice(5, 90), want[42:132])):
+        for size in (1_000, 20_000, 1_000_000):
+            parts = list(tokens.slices(source, "text", size))
+            assert [int(p) for part in parts for p in simhash.fingerprints(part.column("text"), 4)] == expected
+    assert len(list(tokens.slices(batch, "text", 1_000))) > 50
+    for kind in (pa.string(), pa.large_string()):
+        array = pa.array(texts, kind)
+        assert [int(p) for k in range(0, len(texts), 23) for p in simhash.fingerprints(array.slice(k, 23), 4)] == want
+
+
+def test_near_pairs_join_what_all_pairs_join():
+    r = np.random.default_rng(4)
+    for _ in range(10):
+        prints = np.unique(np.concatenate([p ^ (np.uint64(1) << r.integers(0, 64, 40, dtype=np.uint64)) for p in r.integers(0, 1 << 63, 5, dtype=np.uint64)]))
+        a, b = prints[: len(prints) // 2], prints[len(prints) // 3 :]
+        hit = np.bitwise_count(a[:, None] ^ b[None, :]) <= 4
+        at = {int(p): int(p) for p in prints}
+
+        def root(x):
+            while at[x] != x:
+                x = at[x]
+            return x
+
+        i, j = np.nonzero(hit)
+        for x, y in zip(a[i].tolist(), b[j].tolist()):
+            at[root(x)] = root(y)
+        want = {p: root(p) for p in at}
+        at = {p: p for p in at}
+        got = simhash.near_pairs(a, b, 4)
+        assert len(got[0]) < len(a) + len(b)
+        for x, y in zip(*(g.tolist() for g in got)):
+            at[root(x)] = root(y)
+        assert all((want[p] == want[q]) == (root(p) == root(q)) for p in at for q in at)
+
+
 def test_dense_hits_become_stars():
     r = np.random.default_rng(3)
     for _ in range(20):
