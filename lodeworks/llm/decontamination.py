@@ -1,13 +1,15 @@
-"""Benchmark decontamination by a latent semantic space, an exact rare-word bound and exact confirmation.
-
-Documents are cut into blocks of words; a block's TF-IDF row has hashed features. A
-distributed randomised SVD of all blocks (one pass, whose sums per feature have fixed
-size) gives a latent space, which is whitened so that frequent words
-don't dominate it. Each two consecutive blocks make a passage, whose latent cosine with an item is returned.
-It decides nothing, since passages with short items can fall below any limit: candidates are all passages around which there are as many of
-an item's rare words as a match has at least. The longest common subsequence of words decides: a high
-share of the item is a leak, a lower one is a paraphrase if the item's answer, its
-last sentence, is there as well.
+"""Benchmark decontamination by latent semantic retrieval and exact confirmation.
+
+Texts are tokenised once; what later passes need is stored. They are cut into blocks of words, and a
+block's TF-IDF row has hashed features. A distributed randomised SVD of all blocks (one pass, whose sums
+per feature have fixed size) gives a latent space, which is whitened so that frequent words don't dominate
+it. Each two consecutive blocks make a passage.
+
+A place is a candidate for an item if it holds as many of the item's rare words as a match has at
+least, and if one of its passages reaches a cosine with the item in the latent space. Items that
+fill less than a passage may lie anywhere in that space, so for them the exact bound alone decides.
+The longest common subsequence of words confirms: a high share of the item is a leak, a lower one is a
+paraphrase if the item's answer, its last sentence, is there as well.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.llm.common import stored
 from lodeworks.llm.tokens import slices
 
 #: Hashed features, latent dimensions, words in a block, bytes of text and of benchmark items at a time.
 FEATURES, RANK, BLOCK, SLICE_BYTES, ITEM_BYTES = 8192, 24, 16, 1_500_000, 16_000_000
 #: A word is rare if its feature is in at most this share of all blocks, or more where places with enough rare words aren't
-#: so unlikely (a negative logarithm); items compared at a time.
-RARE, UNLIKELY, ITEMS_AT_ONCE = 0.02, 7.0, 512
+#: so unlikely (a negative logarithm). Items of fewer words than SHORT are candidates whatever their cosine.
+RARE, UNLIKELY, SHORT = 0.02, 7.0, 32
 _ALONE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
 _ANSWER = regex.compile(r"(?<=[.!?。！？])\s+|[\n\r]+")
 
@@ -85,84 +88,114 @@ def block_edges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, blocks
 
 
+def block_table(start: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """The features of each block, a row of BLOCK each; unused places hold one past the last feature."""
+    table = np.full((len(start), BLOCK), FEATURES, np.uint16)
+    table[np.arange(BLOCK) < np.diff(np.append(start, len(feature)))[:, None]] = feature
+    return table
+
+
+def _row_sums(weighted: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each block's words; the row past the last feature is zero."""
+    out = weighted[table[:, 0]]
+    for k in range(1, BLOCK):
+        out += weighted[table[:, k]]
+    return out
+
+
+def _with_zero(weights: np.ndarray) -> np.ndarray:
+    return np.append(weights, np.zeros((1, weights.shape[1]), weights.dtype), axis=0)
+
+
+#: What is stored of each slice of texts with words: ids and words of each text (64 and 32 bits), different words parted by
+#: blanks, their features (16 bits), and which of them each word is (32 bits).
+STORED = "ids array<long>, counts binary, names string, features binary, at binary"
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """A row as STORED says for each slice of ``docs`` (doc_id, text)."""
+
+    def made(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                names, at, counts = word_table(part.column("text"))
+                if len(at):
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("doc_id"))
+                    plain = [counts.astype("<i4").tobytes(), " ".join(names.to_pylist()), features(names).astype("<u2").tobytes(), at.astype("<u4").tobytes()]
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([x]) for x in plain)], ["ids", "counts", "names", "features", "at"])
+
+    return docs.mapInArrow(made, STORED)
+
+
 def _parts(batches):
+    """(row, words of each text, which word each is, feature of each) of each slice."""
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES):
-            names, at, counts = word_table(part.column("text"))
-            if len(at):
-                yield part, names, at, counts, features(names)[at]
+        for k in range(len(batch)):
+            counts, feature, at = (np.frombuffer(batch.column(c)[k].as_buffer(), d) for c, d in (("counts", "<i4"), ("features", "<u2"), ("at", "<u4")))
+            yield batch.slice(k, 1), counts.astype(np.int64), at, feature[at]
 
 
-def block_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+def block_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
     """Blocks that hold each feature, and all blocks."""
 
     def counted(batches):
         total, n = np.zeros(FEATURES, np.int64), 0
-        for _, _, _, counts, feature in _parts(batches):
-            start, blocks = block_edges(counts)
-            n += len(start)
-            size = np.diff(np.append(start, len(feature)))
-            table = np.full((len(start), BLOCK), FEATURES, np.uint16)  # unused places hold one past the last feature
-            table[np.arange(BLOCK) < size[:, None]] = feature
+        for _, counts, _, feature in _parts(batches):
+            table = block_table(block_edges(counts)[0], feature)
+            n += len(table)
             table.sort(axis=1)
             new = np.ones(table.shape, bool)
             new[:, 1:] = table[:, 1:] != table[:, :-1]
             total += np.bincount(table[new], minlength=FEATURES + 1)[:FEATURES]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate(([n], total)))], ["feature", "n"])
 
-    rows = texts.mapInArrow(counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    plain = words.select("counts", "features", "at")
+    rows = plain.mapInArrow(counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(FEATURES + 1, np.int64)
     for r in rows:  # one for each feature
         out[r.feature + 1] = r.n
     return out[1:], int(out[0])
 
 
-def _row_sums(weighted: np.ndarray, feature: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Sum of the weights of each block's words."""
-    out, step = np.empty((len(start), weighted.shape[1]), np.float32), 4096
-    ends = np.append(start, len(feature))
-    for s in range(0, len(start), step):
-        some = ends[s : s + step + 1]
-        out[s : s + step] = np.add.reduceat(weighted[feature[some[0] : some[-1]]], some[:-1] - some[0], axis=0)
-    return out
-
-
-def _sketch(texts: DataFrame, idf: np.ndarray, test: np.ndarray) -> np.ndarray:
+def _sketch(words: DataFrame, idf: np.ndarray, test: np.ndarray) -> np.ndarray:
     """A'(A test) of the TF-IDF matrix A of all blocks."""
-    spark, rank = texts.sparkSession, test.shape[1]
-    shared = spark.sparkContext.broadcast((idf.astype(np.float32), (idf[:, None] * test).astype(np.float32)))
+    spark, rank = words.sparkSession, test.shape[1]
+    shared = spark.sparkContext.broadcast((idf, _with_zero((idf[:, None] * test).astype(np.float32))))
 
     def multiplied(batches):
         idf, weighted = shared.value
-        total = np.zeros((rank, FEATURES))
-        for _, _, _, counts, feature in _parts(batches):
-            start, _ = block_edges(counts)
-            owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(feature))))
-            rows = _row_sums(weighted, feature, start).T.astype(np.float64)
-            for c in range(rank):
-                total[c] += np.bincount(feature, rows[c][owner], FEATURES)
-        total *= idf
-        values = [pa.array(total[c].astype(np.float32)) for c in range(rank)]
+        total = np.zeros((FEATURES + 1, rank))
+        for _, counts, _, feature in _parts(batches):
+            table = block_table(block_edges(counts)[0], feature)
+            rows = _row_sums(weighted, table)
+            flat = table.ravel()
+            order = np.argsort(flat, kind="stable")
+            there, begin = np.unique(flat[order], return_index=True)
+            owner = order // BLOCK
+            for c, column in enumerate(np.ascontiguousarray(rows.T)):
+                total[there, c] += np.add.reduceat(column[owner], begin)
+        total = total[:FEATURES] * idf[:, None]
+        values = [pa.array(total[:, c].astype(np.float32)) for c in range(rank)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES)), *values], ["feature", *(f"y{c}" for c in range(rank))])
 
     schema = "feature long, " + ", ".join(f"y{c} float" for c in range(rank))
-    sums = texts.mapInArrow(multiplied, schema).groupBy("feature").agg(*[F.sum(f"y{c}").alias(f"y{c}") for c in range(rank)])
+    sums = words.select("counts", "features", "at").mapInArrow(multiplied, schema).groupBy("feature").agg(*[F.sum(f"y{c}").alias(f"y{c}") for c in range(rank)])
     out = np.zeros((FEATURES, rank))
     for r in sums.collect():  # one for each feature
         out[r[0]] = r[1:]
     return out
 
 
-def latent_space(texts: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def latent_space(words: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights (feature x dimension) that take term counts into the whitened latent space, and each feature's share of blocks.
 
     The sketch Z = A'(A T) with a random orthonormal T gives A'A as Z (T'Z)^-1 Z', whose
     singular values and vectors are those of a small matrix.
     """
-    seen, n = block_frequencies(texts)
+    seen, n = block_frequencies(words)
     idf = np.log((1 + n) / (1 + seen)) + 0.1
     test, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, RANK)))
-    image = _sketch(texts, idf, test)
+    image = _sketch(words, idf, test)
     core = test.T @ image
     value, vector = np.linalg.eigh((core + core.T) / 2)
     keep = value > 1e-7 * max(value.max(), 1e-300)
@@ -224,7 +257,8 @@ class Items:
         feature = features(pa.array(self.vocabulary, pa.large_string()))
         # an item of which a share is found in order has so many of its rare words there, at least
         share = shares[feature]
-        self.reach = np.array([-(-len(w) // BLOCK) for w in self.words], np.int64)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.reach = -(-self.size // BLOCK)
         limit = [rarity(share[w], share[np.unique(w)], 2 * r + 2, paraphrase) for w, r in zip(self.words, self.reach.tolist())]
         self.need = np.array([need((share[w] <= t).sum(), len(w), paraphrase) for w, t in zip(self.words, limit)], np.int32)
         pairs = sorted({(w, k) for k, ws in enumerate(self.words) for w in ws if share[w] <= limit[k]})
@@ -239,28 +273,38 @@ class Items:
         names, at, _ = word_table(pa.array([text]))
         return names.take(pa.array(at)).to_pylist()
 
-    def enough_rare(self, number: np.ndarray, block: np.ndarray, blocks: int, low: int, high: int) -> np.ndarray:
-        """Whether, by item from low to high and block, there are as many rare words of the item around as a match needs."""
+    def places(self, number: np.ndarray, block: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first, last) of each run of blocks around which there are as many rare words of the item as a match needs.
+
+        Around a block: from ``reach`` before to ``reach`` + 1 behind it. Only words that are there are looked at.
+        """
         some = np.flatnonzero(number >= 0)
         n = self.first_holder[number[some] + 1] - self.first_holder[number[some]]
         at = np.repeat(self.first_holder[number[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, where = self.holders[at], np.repeat(block[some], n)
-        own = (item >= low) & (item < high)
-        hits = np.bincount((item[own] - low) * blocks + where[own], minlength=blocks * (high - low)).reshape(-1, blocks)
-        total = np.zeros((high - low, blocks + 1), np.int32)
-        np.cumsum(hits, axis=1, out=total[:, 1:])
-        out = np.empty((high - low, blocks), bool)
-        for reach in np.unique(self.reach[low:high]).tolist():
-            of = np.flatnonzero(self.reach[low:high] == reach)
-            wide = np.pad(total[of], ((0, 0), (reach, reach + 1)), "edge")
-            out[of] = wide[:, 2 * reach + 2 :] - wide[:, :blocks] >= self.need[low:high][of][:, None]
-        return out
+        order = np.argsort(item.astype(np.uint16) if len(self.ids) < 1 << 16 else item, kind="stable")  # blocks ascend already
+        item, where = item[order], where[order]
+        one = np.arange(len(item))
+        other = one + self.need[item] - 1  # the last of as many words as are needed
+        one = one[other < len(item)]
+        other = other[other < len(item)]
+        fits = (item[other] == item[one]) & (where[other] - where[one] <= 2 * self.reach[item[one]] + 1)
+        one, other = one[fits], other[fits]
+        k = item[one]
+        first, last = np.maximum(where[other] - self.reach[k] - 1, 0), np.minimum(where[one] + self.reach[k], blocks - 1)
+        new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (first[1:] > last[:-1] + 1)))[: len(k)]
+        return k[new], first[new], last[np.append(new[1:], len(k))[: len(new)] - 1]
+
+    def may_hold(self, k: int, words: list[int], paraphrase: float) -> bool:
+        """Whether as many of the item's words are among the given ones as a match needs, in whatever order."""
+        some = set(words)
+        return sum(w in some for w in self.words[k]) >= paraphrase * len(self.words[k])
 
     def confirm(self, k: int, words: list[int], leak: float, paraphrase: float, answer: float):
         """(share of the item, share of the answer) in the given words' numbers, or None."""
-        some, item = set(words), self.words[k]
-        if sum(w in some for w in item) < paraphrase * len(item):
+        if not self.may_hold(k, words, paraphrase):
             return None
+        item = self.words[k]
 
         def share(target):
             masks: dict = {}
@@ -275,66 +319,73 @@ class Items:
         return (found, said) if found >= leak or said >= answer else None
 
 
-def search(docs: DataFrame, weights: np.ndarray, items: Items, leak: float, paraphrase: float, answer: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((weights, items))
+def search(words: DataFrame, weights: np.ndarray, items: Items, cosine: float, leak: float, paraphrase: float, answer: float) -> DataFrame:
+    """Every text and item of a match, from ``words`` as ``tokenised`` makes them."""
+    shared = words.sparkSession.sparkContext.broadcast((weights, items))
 
     def matched(batches):
         weights, items = shared.value
-        vocabulary = pa.array(items.vocabulary, pa.large_string())
-        for part, names, at, counts, feature in _parts(batches):
-            number = pc.fill_null(pc.index_in(names, vocabulary), -1).to_numpy()[at]
+        weights, vocabulary = _with_zero(weights), pa.array(items.vocabulary, pa.string())
+        for row, counts, at, feature in _parts(batches):
+            ids = row.column("ids")[0].values
+            number = pc.fill_null(pc.index_in(pc.split_pattern(row.column("names"), " ").flatten(), vocabulary), -1).to_numpy()[at]
             start, blocks = block_edges(counts)
             doc = np.repeat(np.arange(len(counts)), blocks)
             first = np.cumsum(counts) - counts
+            latent = _row_sums(weights, block_table(start, feature))
+            block = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
             best: dict = {}
             reach: dict = {}
-            block = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
-            for b, k, c in _near(weights, feature, start, doc, items, number, block):
-                d = int(doc[b])
-                size = len(items.words[k])
-                low, high = max(int(first[d]), int(start[b]) - size), min(int(first[d] + counts[d]), int(start[b]) + 2 * BLOCK + size)
-                if low < reach.get((d, k), -1):  # runs into the place searched last: search on from its item's length before
-                    low = max(low, reach[d, k] - 2 * size)
-                    if high <= reach[d, k]:
-                        continue
-                reach[d, k] = high
-                got = items.confirm(k, number[low:high].tolist(), leak, paraphrase, answer)
-                if got and got[0] > best.get((d, k), (0,))[0]:
-                    best[d, k] = (*got, float(c), low - int(first[d]), high - int(first[d]))
-            ids = part.column("doc_id").to_pylist()
-            out = [(ids[d], items.ids[k], *v) for (d, k), v in best.items()]
+            for k, b_low, b_high, c in _near(latent, doc, items, number, block, cosine):
+                d = int(doc[b_low])
+                size, begin, end = len(items.words[k]), int(first[d]), int(first[d] + counts[d])
+                around = number[max(begin, int(start[b_low]) - size) : min(end, int(start[b_high]) + 2 * BLOCK + size)].tolist()
+                if not items.may_hold(k, around, paraphrase):
+                    continue
+                for at_b in start[b_low : b_high + 1].tolist():
+                    low, high = max(begin, at_b - size), min(end, at_b + 2 * BLOCK + size)
+                    if low < reach.get((d, k), -1):  # runs into the place searched last: search on from its item's length before
+                        low = max(low, reach[d, k] - 2 * size)
+                        if high <= reach[d, k]:
+                            continue
+                    reach[d, k] = high
+                    got = items.confirm(k, number[low:high].tolist(), leak, paraphrase, answer)
+                    if got and got[0] > best.get((d, k), (0,))[0]:
+                        best[d, k] = (*got, float(c), low - begin, high - begin)
+            out = [(ids[d].as_py(), items.ids[k], *v) for (d, k), v in best.items()]
             columns = zip(*out) if out else [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "item_share", "answer_share", "cosine", "first_word", "last_word"])
 
-    return docs.mapInArrow(matched, "doc_id long, item_id long, item_share double, answer_share double, cosine double, first_word long, last_word long")
+    return words.mapInArrow(matched, "doc_id long, item_id long, item_share double, answer_share double, cosine double, first_word long, last_word long")
 
 
-def _passages(some: np.ndarray, weights: np.ndarray, feature: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Unit vectors of the given blocks, each with the one that follows in its document."""
-    ends = np.append(start, len(feature))
-    follows = np.append(doc[1:] == doc[:-1], False)[some]
-    size = ends[some + 1 + follows] - start[some]
-    first = np.cumsum(size) - size
-    words = np.repeat(start[some] - first, size) + np.arange(size.sum())
-    out = np.add.reduceat(weights[feature[words]], first, axis=0) if len(some) else np.zeros((0, weights.shape[1]), np.float32)
+def passages(latent: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Unit vectors of all blocks, each with the one that follows in its document."""
+    out = latent.copy()
+    out[:-1] += latent[1:] * (doc[1:] == doc[:-1])[:, None]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def _near(weights: np.ndarray, feature: np.ndarray, start: np.ndarray, doc: np.ndarray, items: Items, number: np.ndarray, block: np.ndarray):
-    """(passage, item, cosine) of all passages with the rare words a match needs, whatever the cosine; by item, then passage."""
-    for low in range(0, len(items.ids), ITEMS_AT_ONCE):
-        high = min(low + ITEMS_AT_ONCE, len(items.ids))
-        k, b = np.nonzero(items.enough_rare(number, block, len(start), low, high))
-        some, at = np.unique(b, return_inverse=True)
-        close = np.einsum("ij,ij->i", items.vectors[k + low], _passages(some, weights, feature, start, doc)[at])
-        yield from zip(b.tolist(), (k + low).tolist(), close.tolist())
+def _near(latent: np.ndarray, doc: np.ndarray, items: Items, number: np.ndarray, block: np.ndarray, cosine: float):
+    """(item, first and last passage, largest cosine) of all candidate places, each within one text; by item, then place."""
+    item, low, high = items.places(number, block, len(doc))
+    n = high - low + 1
+    place = np.repeat(np.arange(len(item)), n)
+    b = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    if not len(b):
+        return
+    new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[b[1:]] != doc[b[:-1]])))
+    close = np.einsum("ij,ij->i", items.vectors[item[place]], passages(latent, doc)[b])
+    best, item = np.maximum.reduceat(close, new), item[place[new]]
+    kept = (best >= cosine) | (items.size[item] < SHORT)
+    yield from zip(*(x[kept].tolist() for x in (item, b[new], b[np.append(new[1:], len(b)) - 1], best)))
 
 
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
-    cosine: float = 0.3,
+    cosine: float = 0.1,
     leak: float = 0.8,
     paraphrase: float = 0.6,
     answer: float = 0.8,
@@ -343,20 +394,20 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, item_share, answer_share, cosine, first_word, last_word) of each document that holds an item.
 
-    ``cosine`` leaves nothing out: a passage's latent cosine is returned, and passages below it are compared as well.
-
-    The place is a range of the document's words around the item. Null and empty texts
-    hold nothing and are no items; identical rows give identical rows; an empty table on either side gives
-    no rows. Further columns aren't read. Items go through in blocks of bounded size, each against all documents.
+    ``cosine``: what a passage of a place has to reach with an item of SHORT words or more; the largest one is returned. The
+    place is a range of the document's words around the item. Null and empty texts
+    hold nothing and are no items; identical rows give identical rows, of equally good places the first counts; an empty table on
+    either side gives no rows. Further columns aren't read. Items go through in blocks of bounded size, each against all documents.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    weights, shares = latent_space(own.select("text"))
+    words = stored(tokenised(own), "words")
+    weights, shares = latent_space(words)
     wanted = benchmark.select("item_id", "text").where("text IS NOT NULL")
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // ITEM_BYTES
     out = None
     for k in range(blocks):
         some = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found = search(own, weights, Items([r.item_id for r in some], [r.text for r in some], weights, shares, paraphrase), leak, paraphrase, answer)
+        found = search(words, weights, Items([r.item_id for r in some], [r.text for r in some], weights, shares, paraphrase), cosine, leak, paraphrase, answer)
         out = found if out is None else out.unionAll(found)
     return out
