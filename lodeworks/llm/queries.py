@@ -36,11 +36,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals of all documents, committed as one batch that is then sent again."""
+    """Token totals of all documents after inserts, deletes and revisions of whole groups.
+
+    All documents are inserted, those of one language deleted, then inserted again, those of another
+    revised by themselves, and the first batch is sent once more; so the totals are those of all documents.
+    """
     rollup = token_counts.TokenRollup(spark, new_path(spark, "token_counts"), {"byte_bpe_50k@1": tokenizer_path()})
-    inserts = read(spark, sf_dir, "documents").selectExpr("'insert' AS op", "doc_id", "source", "lang", "text")
-    for _ in range(2):
-        rollup.commit("documents", inserts)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+
+    def changes(op: str, lang: str | None = None) -> DataFrame:
+        return (docs if lang is None else docs.where(F.col("lang") == lang)).withColumn("op", F.lit(op))
+
+    rollup.commit("load", changes("insert"))
+    rollup.commit("withdrawn", changes("delete", "es"))
+    rollup.commit("returned", changes("insert", "es"))
+    rollup.commit("revised", changes("revise", "fr"))
+    rollup.commit("load", changes("insert"))
     return rollup.totals()
 
 

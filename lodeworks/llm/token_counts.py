@@ -2,23 +2,34 @@
 
 A batch of changes is turned into signed entries: an insert adds a document's counts, a
 delete takes back what is live for its id, and a revision does both. Entries and their
-sums per group are written under a name of their own; creating the batch's commit file, which
-fails if it exists, is the one atomic step. Totals add up the sums of committed batches,
-so a repeated or a crashed attempt changes nothing.
+sums per group are written under a name of their own. The log has one file for each version,
+which takes its number exclusively: a batch is applied to the version before its own, and a writer that
+finds its number taken starts again from the newer state. So a repeated or crashed attempt
+changes nothing, and two writers never take back the same entry twice.
+
+Every few versions the log is compacted: what is live goes to buckets by the hash of its id,
+the totals to one small table, and the log goes on from there. A commit reads the buckets and the few batches since.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm.tokens import BpeEncoder, slices
+from lodeworks.sources.store import publish, read_text, versions
 
 ENTRY = "doc_id long, source string, lang string, tokenizer string, documents long, tokens long"
+SUMS = ENTRY.replace("doc_id long, ", "")
 GROUP = ["source", "lang", "tokenizer"]
+#: Batches between compactions, and buckets of live entries.
+COMPACT_AFTER, BUCKETS = 16, 64
 
 
 def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
@@ -31,12 +42,26 @@ def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
                     _, counts = BpeEncoder.load(path).encode(part.column("text"))
                     n = len(part)
                     columns = [part.column(c) for c in ("doc_id", "source", "lang")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array([version] * n), pa.array([1] * n), pa.array(counts)], ["doc_id", *GROUP, "documents", "tokens"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([version] * n, pa.string()), pa.array(np.ones(n, np.int64)), pa.array(counts)], ["doc_id", *GROUP, "documents", "tokens"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
     return plain.mapInArrow(made, ENTRY)
 
 
+def _summed(rows: DataFrame, *key: str) -> DataFrame:
+    """Sums per key, without those that are nothing."""
+    return rows.groupBy(*key).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 OR tokens <> 0")
+
+
+@dataclass(frozen=True)
+class State:
+    """A version of the log: its base, and the batches since with their attempts."""
+
+    version: int
+    base: str | None
+    batches: dict[str, str]
+
+
 class TokenRollup:
     """Totals in shared storage at ``path``."""
 
@@ -46,25 +71,30 @@ class TokenRollup:
         self._at = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _attempts(self) -> list[str]:
-        """The attempts that count: one for each committed batch."""
-        folder = self._at(f"{self.path}/commits")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        out = []
-        for name in sorted(n for n in names if not n.startswith(".")):
-            with_file = self._fs.open(self._at(f"{self.path}/commits/{name}"))
-            out.append(with_file.readUTF())
-            with_file.close()
-        return out
-
-    def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._at(f"{self.path}/commits/{batch_id}"))
-
-    def _read(self, kind: str, schema: str) -> DataFrame | None:
-        paths = [f"{self.path}/{kind}/{a}" for a in self._attempts()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+    def state(self) -> State:
+        """The latest version: its files are read back to the last compaction, a bounded number of them."""
+        known = versions(self.spark, f"{self.path}/log")
+        batches = {}
+        for v in reversed(known):
+            entry = json.loads(read_text(self.spark, f"{self.path}/log/{v}"))
+            if "base" in entry:
+                return State(known[-1], entry["base"], batches)
+            batches[entry["batch"]] = entry["attempt"]
+        return State(known[-1] if known else 0, None, batches)
+
+    def _done(self, batch_id: str) -> str:
+        return f"{self.path}/done/{batch_id}"
+
+    def committed(self, batch_id: str, state: State | None = None) -> bool:
+        state = state or self.state()
+        return batch_id in state.batches or self._fs.exists(self._at(self._done(batch_id)))
+
+    def _read(self, state: State, kind: str, schema: str) -> DataFrame:
+        out = self.spark.createDataFrame([], schema)
+        if state.base:
+            out = self.spark.read.schema(schema + (", bucket int" if kind == "entries" else "")).parquet(f"{state.base}/{kind}").drop("bucket")
+        paths = [f"{self.path}/{kind}/{a}" for a in state.batches.values()]
+        return out.unionByName(self.spark.read.schema(schema).parquet(*paths)) if paths else out
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it is there already.
@@ -73,36 +103,58 @@ class TokenRollup:
         the op, what is live for the id is taken back first, so an insert of a known id is
         a revision and a delete of an unknown one does nothing. Rows of a batch that share an id all count. A
         null id never matches a live one. Null sources and languages are groups of their
-        own, null texts have no tokens, unknown ops raise.
+        own, null texts have no tokens, unknown ops raise. An empty batch is committed as well.
         """
-        if self.committed(batch_id):
-            return False
+        if not batch_id or "/" in batch_id or batch_id.startswith("."):
+            raise ValueError(f"not a batch id: {batch_id!r}")
         op = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(F.raise_error(F.lit("unknown op")))
         changes = changes.withColumn("op", op)
-        entries = counted(changes.where("op <> 'delete'"), self.tokenizers)
-        live = self._read("entries", ENTRY)
-        if live is not None:
-            key = ["doc_id", *GROUP]
-            touched = changes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            live = live.join(touched, "doc_id", "left_semi").groupBy(*key).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-            gone = live.where("documents <> 0 OR tokens <> 0")
-            entries = entries.unionAll(gone.select(*key, (-F.col("documents")).alias("documents"), (-F.col("tokens")).alias("tokens")))
-        attempt = uuid.uuid4().hex
-        entries.write.parquet(f"{self.path}/entries/{attempt}")
-        own = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{attempt}")
-        own.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.path}/deltas/{attempt}")
-        hidden = self._at(f"{self.path}/commits/.{attempt}")
-        out = self._fs.create(hidden, False)
-        out.writeUTF(attempt)
-        out.close()
-        done = not self.committed(batch_id) and self._fs.rename(hidden, self._at(f"{self.path}/commits/{batch_id}"))
-        if not done:  # another writer was first
-            self._fs.delete(hidden, False)
-        return done
+        new = None
+        while True:
+            state = self.state()
+            if self.committed(batch_id, state):
+                return False
+            attempt = uuid.uuid4().hex
+            if new is None:  # what comes in is counted once, however often others are first
+                new = f"{self.path}/counted/{attempt}"
+                counted(changes.where("op <> 'delete'"), self.tokenizers).write.parquet(new)
+            entries = self.spark.read.schema(ENTRY).parquet(new)
+            if state.version:
+                touched = changes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+                gone = _summed(self._read(state, "entries", ENTRY).join(touched, "doc_id", "left_semi"), "doc_id", *GROUP)
+                entries = entries.unionAll(gone.select("doc_id", *GROUP, -F.col("documents"), -F.col("tokens")))
+            entries.write.parquet(f"{self.path}/entries/{attempt}")
+            own = self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{attempt}")
+            _summed(own, *GROUP).write.parquet(f"{self.path}/deltas/{attempt}")
+            if publish(self.spark, f"{self.path}/log/{state.version + 1}", json.dumps({"batch": batch_id, "attempt": attempt})):
+                break
+            for kind in ("entries", "deltas"):  # another writer was first
+                self._drop(f"{self.path}/{kind}/{attempt}")
+        self._drop(new)
+        if len(state.batches) + 1 >= COMPACT_AFTER:
+            self.compact()
+        return True
+
+    def compact(self) -> bool:
+        """Put all versions into a new base; False if another writer was first, which changes nothing."""
+        state = self.state()
+        if not state.batches:
+            return False
+        base = f"{self.path}/base/{uuid.uuid4().hex}"
+        live = _summed(self._read(state, "entries", ENTRY), "doc_id", *GROUP)
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        live.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(f"{base}/entries")
+        _summed(self._read(state, "deltas", SUMS), *GROUP).write.parquet(f"{base}/deltas")
+        for batch in state.batches:  # before they leave the log
+            publish(self.spark, self._done(batch), base)
+        if not publish(self.spark, f"{self.path}/log/{state.version + 1}", json.dumps({"base": base})):
+            self._drop(base)
+            return False
+        return True
+
+    def _drop(self, path: str) -> None:
+        self._fs.delete(self._at(path), True)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens) of all committed batches; groups without documents are left out."""
-        deltas = self._read("deltas", ENTRY.replace("doc_id long, ", ""))
-        if deltas is None:
-            return self.spark.createDataFrame([], ENTRY.replace("doc_id long, ", ""))
-        return deltas.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 OR tokens <> 0")
+        return _summed(self._read(self.state(), "deltas", SUMS), *GROUP)

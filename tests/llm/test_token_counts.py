@@ -1,9 +1,12 @@
 import collections
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from lodeworks.llm import queries
+from lodeworks.llm import queries, token_counts
 from lodeworks.llm.token_counts import TokenRollup
+from lodeworks.sources import store
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,15 +56,66 @@ def test_batches_apply_once_and_add_up(spark, docs, count, tmp_path):
     assert roll.totals().count() == 0
 
 
-def test_an_attempt_without_commit_changes_nothing(spark, docs, tmp_path):
+def test_a_crashed_attempt_changes_nothing(spark, docs, tmp_path, monkeypatch):
     roll = TokenRollup(spark, str(tmp_path / "roll"), {"v1": queries.tokenizer_path()})
     one = docs.limit(3).selectExpr("'insert' AS op", "*")
-    roll.committed, real = lambda b: False, roll.committed
-    assert roll.commit("x", one)
-    before = _got(roll.totals())
-    assert not roll.commit("x", one)  # both saw no commit; the file decides
-    roll.committed = real
-    assert _got(roll.totals()) == before
+
+    def crash(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(token_counts, "publish", crash)
+    with pytest.raises(OSError):
+        roll.commit("x", one)
+    monkeypatch.undo()
+    assert roll.totals().count() == 0 and not roll.committed("x")
+    assert roll.commit("x", one) and sum(r.documents for r in roll.totals().collect()) == 3
+
+
+def test_two_writers_of_one_document(spark, tmp_path, monkeypatch):
+    """The second takes back what the first has made, though it has read the state before."""
+    path, schema = str(tmp_path / "roll"), "op string, doc_id long, source string, lang string, text string"
+    one, two = (TokenRollup(spark, path, {"v1": queries.tokenizer_path()}) for _ in range(2))
+    one.commit("a", spark.createDataFrame([("insert", 1, "s", "en", "one two")], schema))
+    real, raced = token_counts.publish, []
+
+    def late(spark_, at, text):
+        if not raced:
+            raced.append(0)
+            raced.append(two.commit("b", spark.createDataFrame([("revise", 1, "s", "fr", "one two three")], schema)))
+        return real(spark_, at, text)
+
+    monkeypatch.setattr(token_counts, "publish", late)
+    assert one.commit("c", spark.createDataFrame([("revise", 1, "s", "de", "one")], schema))
+    assert raced == [0, True]
+    assert {(r.lang, r.documents) for r in one.totals().collect()} == {("de", 1)}
+
+
+def test_writers_at_once_make_one_file(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        for k in range(5):
+            made = list(pool.map(lambda n, k=k: store.publish(spark, f"{tmp_path}/{k}", f"text {n}"), range(8)))
+            assert made.count(True) == 1 and store.read_text(spark, f"{tmp_path}/{k}") == f"text {made.index(True)}"
+    assert sorted(n for n in os.listdir(tmp_path) if not n.endswith(".crc")) == list("01234")
+
+
+def test_publish_by_rename(spark, tmp_path):
+    """File systems other than the local one take the name by a rename."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.t.link./x", f"file://{tmp_path}")
+    assert store.publish(spark, "viewfs://t/x/f", "one") and not store.publish(spark, "viewfs://t/x/f", "two")
+    assert store.read_text(spark, "viewfs://t/x/f") == "one" and store.versions(spark, "viewfs://t/x") == []
+
+
+def test_compaction_keeps_totals_and_batches(spark, docs, count, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACT_AFTER", 2)
+    roll = TokenRollup(spark, str(tmp_path / "roll"), {"v1": queries.tokenizer_path()})
+    rows = [(r.doc_id, r.source, r.lang, r.text) for r in docs.limit(12).collect()]
+    schema = "doc_id long, source string, lang string, text string, op string"
+    for k in range(5):
+        assert roll.commit(f"b{k}", spark.createDataFrame([(*r, "insert") for r in rows[: 2 * k + 2]], schema))
+    assert roll.state().base and len(roll.state().batches) <= 1
+    assert not any(roll.commit(f"b{k}", spark.createDataFrame([(*rows[0], "delete")], schema)) for k in range(5))
+    assert _got(roll.totals()) == _want([r[1:] for r in rows[:10]], count)
+    assert roll.commit("gone", spark.createDataFrame([(*r, "delete") for r in rows], schema)) and roll.totals().count() == 0
 
 
 def test_odd_rows_and_empty_table(spark, odd_docs, count, tmp_path):
