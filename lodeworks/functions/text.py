@@ -11,10 +11,11 @@ VIDEO = r"(?i)\.(?:mp4|mkv|avi|wmv|mov|m4v|ts)\z"
 QUALITY = r"(?i)(?:[._ -](?:480p|720p|1080p|2160p|4k|uhd|fhd|fullhd|x26[45]|h26[45]|hevc|web[-._ ]?dl|webrip))+\z"
 STORED_QUALITY = r"(?i)(?:[._ -](?:480p|720p|1080p|2160p|4k|uhd|fhd|fullhd|x26[45]|h26[45]|hevc))+\z"
 NOISE = (
-    "a aka and avi for from fhd fullhd h264 h265 hevc her his in m4v mkv mov mp4 my nl of on p2p rm the to ts uhd web webdl webrip with wmv wrb xc x264 x265 xxx "
-    "480p 720p 1080p 2160p 4k fpv gapfill narcos vaccine vsex"
-).split()
-SCOPED_NOISE = "4096 4096p 3072 3072p 3600 3600p 2048 2048p 180 360 vr180 vr360 3dh lr tb".split()
+    "a", "aka", "and", "avi", "for", "from", "fhd", "fullhd", "h264", "h265", "hevc", "her", "his", "in", "m4v", "mkv", "mov", "mp4", "my", "nl",
+    "of", "on", "p2p", "rm", "the", "to", "ts", "uhd", "web", "webdl", "webrip", "with", "wmv", "wrb", "xc", "x264", "x265", "xxx",
+    "480p", "720p", "1080p", "2160p", "4k", "fpv", "gapfill", "narcos", "vaccine", "vsex",
+)
+SCOPED_NOISE = ("4096", "4096p", "3072", "3072p", "3600", "3600p", "2048", "2048p", "180", "360", "vr180", "vr360", "3dh", "lr", "tb")
 SCOPED_CATEGORY = "VR/VirtualReality"
 EPISODE = r"^(?:e\d{1,4}|episode\d{1,4}|scene\d{1,4})\z"
 
@@ -83,7 +84,8 @@ def stored_group_key(filename: Column) -> Column:
 def telling(tokens: Column, scoped: Column | bool = False) -> Column:
     """Tokens that say something: longer than one, no noise, no episode number; in order, with repeats."""
     scoped = F.lit(scoped) if isinstance(scoped, bool) else F.coalesce(scoped, F.lit(False))
-    return F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(NOISE) & ~(scoped & t.isin(SCOPED_NOISE)) & ~t.rlike(EPISODE))
+    numbered = lambda t: t.rlike("^[es]") & t.rlike(EPISODE)  # noqa: E731  the first letter spares most words the longer pattern
+    return F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*NOISE) & ~(scoped & t.isin(*SCOPED_NOISE)) & ~numbered(t))
 
 
 def content_tokens(text: Column, scoped: Column | bool = False) -> Column:
@@ -156,9 +158,42 @@ def match_source(filename: Column, title: Column, category: Column) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    """The date that the first ten characters spell as YYYY-MM-DD; else null."""
-    head = F.substring(text, 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}\z"), head.try_cast("date"))
+    """The date that the first ten characters spell as YYYY-MM-DD, YYYYMMDD, YYYY-Www-D or YYYYWwwD (the day may lack); else null."""
+
+    def week(h):
+        year, number, day = (F.regexp_extract(h, r"^(\d{4})-?W(\d{2})-?(\d?)\z", k) for k in (1, 2, 3))
+        fourth = F.make_date(year.try_cast("int"), F.lit(1), F.lit(4))  # lies in the first week
+        monday = F.date_sub(fourth, F.weekday(fourth))
+        of = F.date_add(monday, (number.try_cast("int") - 1) * 7 + F.coalesce(day.try_cast("int"), F.lit(1)) - 1)
+        last = F.make_date(year.try_cast("int"), F.lit(12), F.lit(28))  # lies in the last week
+        right = number.try_cast("int").between(1, F.weekofyear(last)) & F.coalesce(day.try_cast("int"), F.lit(1)).between(1, 7)
+        return F.when(right, of)
+
+    def read(h):
+        return (
+            F.when(h.rlike(r"^\d{4}-\d{2}-\d{2}\z"), h.try_cast("date"))
+            .when(h.rlike(r"^\d{8}\z"), F.regexp_replace(h, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("date"))
+            .when(h.rlike(r"^\d{4}(?:-W\d{2}(?:-\d)?|W\d{2}\d?)\z") & (F.substring(h, 1, 4) != "0000"), week(h))
+        )
+
+    return bound(F.substring(text, 1, 10), read)
+
+
+def json_list(text: Column, of: str = "string") -> Column:
+    """The entries of a JSON list; an empty array for null, bad JSON and all that is no list."""
+    plain = F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), text)
+    return F.coalesce(F.from_json(plain, f"array<{of}>"), F.array().cast(f"array<{of}>"))
+
+
+def source_list(item_id: Column) -> Column:
+    """``[{"source_item_id": n}]``, as an attempt that was taken over keeps its source."""
+    return F.to_json(F.array(F.struct(item_id.alias("source_item_id"))))
+
+
+def source_of(text: Column) -> Column:
+    """The source that such a list names, if it is a whole number; else null."""
+    named = F.get_json_object(text, "$[0].source_item_id")
+    return F.when(named.rlike(r"^[0-9]+\z"), named.try_cast("bigint"))
 
 
 def uuid(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.sources.store import cut_lineage
 
 
-def roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """(node, root, depth) for edges (node, parent) with at most one parent each, by pointer doubling.
 
     A chain of n needs log2(n) rounds, whatever the recursion limit. Nodes on or behind a
@@ -20,7 +20,7 @@ def roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
     state = state.unionAll(tops.select("node", F.col("node").alias("at"), F.lit(0).cast("bigint").alias("depth"), F.lit(True).alias("done")))
     state = cut_lineage(state)
     open_before = None
-    for _ in range(rounds):
+    while True:
         hop = state.select(F.col("node").alias("at"), F.col("at").alias("_to"), F.col("depth").alias("_more"), F.col("done").alias("_done"))
         step = state.join(hop, "at", "left")
         state = cut_lineage(step.select("node", F.coalesce("_to", "at").alias("at"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")))
@@ -31,16 +31,36 @@ def roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return state.where("done").select("node", F.col("at").alias("root"), "depth")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node): seeds and all that edges (node, parent) lead to from them, each once."""
-    known = cut_lineage(seeds.select("node").distinct())
-    fresh = known
-    for _ in range(rounds):
+def _below(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): nodes with a seed among their ancestors, for at most one parent each, by pointer doubling."""
+    hit = seeds.select(F.col("node").alias("parent"), F.lit(True).alias("hit"))
+    state = cut_lineage(edges.join(hit, "parent", "left").select("node", F.col("parent").alias("at"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    open_before = None
+    while (left := state.where("not hit and at is not null").count()) and left != open_before:  # in cycles without a seed some stay open
+        open_before = left
+        hop = state.select(F.col("node").alias("at"), F.col("at").alias("_to"), F.col("hit").alias("_hit"))
+        step = state.join(hop, "at", "left")
+        state = cut_lineage(step.select("node", F.col("_to").alias("at"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")))
+    return state.where("hit").select("node")
+
+
+def closure(seeds: DataFrame, edges: DataFrame, pieces: int = 16) -> DataFrame:
+    """(node): seeds and all that edges (node, parent) lead to from them, each once; edges with a null end lead nowhere.
+
+    Where no node has two parents, it takes a logarithmic number of rounds. Else each round adds the nodes that
+    the last one has newly reached, until there are none; what is known is written anew every ``pieces`` rounds alone.
+    """
+    seeds = cut_lineage(seeds.select("node").where("node IS NOT NULL").distinct())
+    edges = cut_lineage(edges.select("node", "parent").where("node IS NOT NULL AND parent IS NOT NULL").distinct())
+    if not edges.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return seeds.unionAll(_below(seeds, edges)).distinct()
+    fresh, known, rounds = seeds, seeds, 0
+    while fresh.limit(1).count():
         reached = edges.join(fresh.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct()
         fresh = cut_lineage(reached.join(known, "node", "left_anti"))
-        if not fresh.limit(1).count():
-            break
-        known = cut_lineage(known.unionAll(fresh))
+        known, rounds = known.unionAll(fresh), rounds + 1
+        if rounds % pieces == 0:
+            known = cut_lineage(known)
     return known
 
 

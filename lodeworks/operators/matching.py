@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import date_delta, overlap, plain_name
 
-MARGIN, AUDIT_ROWS, STORED_ROWS, REUSED = 0.08, 10, 25, ("resolution_sibling", "legacy_sibling")
+MARGIN, AUDIT_ROWS, STORED_ROWS = 0.08, 10, 25
+#: The method of a match that was taken over, and of one that isn't independent either.
+REUSED = ("resolution_sibling", "parse_filename_first")
 
 
 def site_matches(label: Column, name: Column, short_name: Column, expected_id: Column | None = None, site_id: Column | None = None) -> Column:
@@ -57,15 +59,16 @@ def decisions(candidates: DataFrame, key: list[str]) -> DataFrame:
     """One row per key: the best candidate, whether it is accepted, and why.
 
     ``candidates``: key, candidate_id, pos, score, delta, accepted. Ranked by score, then days apart (unknown last),
-    then position. An accepted one needs a margin over the next accepted one.
+    then position. An accepted one needs a margin over the next accepted one. One sort by key serves the
+    order of accepted candidates and the sums.
     """
-    order = [F.desc("score"), F.asc_nulls_last("delta"), F.asc("pos")]
-    ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    ranked = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "accepted").orderBy("_rank")))
-    top = F.struct("candidate_id", "score", "_rank").alias("c")
+    rank = F.struct((-F.col("score")).alias("s"), F.coalesce(F.col("delta"), F.lit(10**9)).alias("d"), F.col("pos").alias("p"))
+    ranked = candidates.withColumn("_rank", rank)
+    ranked = ranked.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("accepted"), "_rank")))
+    named = F.struct("candidate_id", "score")
     by = ranked.groupBy(*key).agg(
-        F.min_by(top, "_rank").alias("best"),
-        F.max(F.when(F.col("accepted") & (F.col("_nth") == 1), F.struct("candidate_id", "score"))).alias("first"),
+        F.min_by(named, "_rank").alias("best"),
+        F.max(F.when(F.col("accepted") & (F.col("_nth") == 1), named)).alias("first"),
         F.max(F.when(F.col("accepted") & (F.col("_nth") == 2), F.col("score"))).alias("second"),
         F.count(F.lit(1)).alias("candidate_count"),
     )
@@ -82,6 +85,26 @@ def decisions(candidates: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def likely_pairs(sources: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
+    """(source_id, candidate_id): all pairs whose sets of tokens overlap by ``share`` of the smaller one, and some others.
+
+    ``sources``: source_id, tokens; ``candidates``: candidate_id, tokens; tokens without repeats. If
+    k of the smaller set's n tokens have to be in the other set, one of any n - k + 1 of them is, so these alone are looked up:
+    the longest, since long words are in few sets, and so no frequent word is a key but for sets of nothing else.
+    """
+
+    def parts(rows, key):
+        rare = F.array_sort("tokens", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+        n = F.size("tokens")
+        some = F.slice(rare, 1, F.greatest(n - F.ceil(n * share - 1e-9).cast("int") + 1, F.lit(1)))
+        full = rows.where(n > 0)
+        return full.select(key, F.explode(some).alias("w")), full.select(key, F.explode("tokens").alias("w"))
+
+    (few, every), (few_other, every_other) = parts(sources, "source_id"), parts(candidates, "candidate_id")
+    both = few.join(every_other, "w").unionByName(every.join(few_other, "w"))
+    return both.select("source_id", "candidate_id").distinct()
+
+
 def audit(candidates: DataFrame, key: list[str], limit: int = AUDIT_ROWS) -> DataFrame:
     """(key, audit): the best ``limit`` candidates as structs, scores rounded to four places."""
     order = Window.partitionBy(*key).orderBy(F.desc("score"), F.asc_nulls_last("delta"), F.asc("pos"))
@@ -97,6 +120,28 @@ def kept_audit(entries: Column, limit: int = STORED_ROWS) -> Column:
     return F.when(late.isNull(), head).otherwise(F.concat(F.slice(entries, 1, limit - 1), F.array(late)))
 
 
+def cascade(sources: DataFrame, candidates: DataFrame, site_results: DataFrame, site_stage: int = 1, last: int = 5) -> DataFrame:
+    """Every item's decision at the first stage that accepts, as ``first_accepted`` gives it.
+
+    ``sources``: item_id, label, tokens, day; ``candidates``: item_id, stage, pos, candidate_id, title, tokens, day, site_id,
+    site_name, site_short_name; ``site_results``: item_id, pos, site_id, name, short_name. The site that the
+    results of a search by label name is the expected one from ``site_stage`` on, and without it that stage has no
+    candidates. Candidates that agree in title, day and site count once within a stage. Stages beyond ``last`` aren't asked.
+    """
+    labelled = site_results.join(sources.select("item_id", "label"), "item_id")
+    site = select_site(labelled).select("item_id", F.col("site_id").alias("_expected"))
+    asked = candidates.where(F.col("stage") <= last).withColumnRenamed("tokens", "candidate_tokens").withColumnRenamed("day", "candidate_day")
+    joined = asked.join(sources.select("item_id", "label", "tokens", "day"), "item_id").join(site, "item_id", "left")
+    joined = joined.where((F.col("stage") != site_stage) | F.col("_expected").isNotNull())
+    joined = joined.withColumns({"_title": plain_name(F.col("title")), "_site": plain_name(F.col("site_name"))})
+    inspected = joined.groupBy("item_id", "stage").agg(F.count(F.lit(1)).alias("_inspected"))
+    once = distinct_candidates(joined, ["item_id", "stage"], ["_title", "candidate_day", "_site"])
+    expected = F.when(F.col("stage") >= site_stage, F.col("_expected"))
+    match = site_matches(F.col("label"), F.col("site_name"), F.col("site_short_name"), expected, F.col("site_id"))
+    by = decisions(scored(once.withColumn("site_match", match)), ["item_id", "stage"]).drop("candidate_count")
+    return first_accepted(by.join(inspected.withColumnRenamed("_inspected", "candidate_count"), ["item_id", "stage"]))
+
+
 def first_accepted(by_stage: DataFrame, key: str = "item_id") -> DataFrame:
     """One row per item: the first stage that accepts, with the candidates seen up to there.
 
@@ -135,25 +180,27 @@ def shadow(items: DataFrame, attempts: DataFrame, categories: list[str], ids: li
 
 
 def reusable(attempts: DataFrame) -> DataFrame:
-    """(group_key, item_id, work_id, match_score): each key's latest match that stands on its own."""
-    own = attempts.where((F.col("status") == "matched") & ~F.col("method").isin(*REUSED) & F.col("match_score").isNotNull())
+    """(group_key, item_id, work_id, match_score, place): each key's latest two matches that stand on their own, newest first.
+
+    The second serves the item that the first belongs to.
+    """
+    own = attempts.where((F.col("status") == "matched") & F.col("work_id").isNotNull() & ~F.col("method").isin(*REUSED) & F.col("match_score").isNotNull())
     latest = Window.partitionBy("group_key").orderBy(F.desc("attempted_at"), F.desc("item_id"))
-    return own.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select("group_key", "item_id", "work_id", "match_score")
+    return own.withColumn("place", F.row_number().over(latest)).where("place <= 2").select("group_key", "item_id", "work_id", "match_score", "place")
 
 
 def with_reuse(batch: DataFrame, attempts: DataFrame, place: str = "place") -> DataFrame:
-    """``batch`` (item_id, group_key, place, accepted, work_id, score) with source_id: whose match each item reuses.
+    """``batch`` (item_id, group_key, place, accepted, ...) with source_id: whose match each item reuses.
 
-    A stored match of another item comes first; else the first item of the batch with the key that
-    accepts on its own serves all behind it, as if they had been worked off in order.
+    The latest stored match of another item comes first; else the first item of the batch with the key that
+    accepts on its own serves all behind it, as if they had been worked off in order. A null key reuses nothing.
     """
-    stored = reusable(attempts).select("group_key", F.col("item_id").alias("_stored"))
-    joined = batch.join(stored, "group_key", "left")
-    joined = joined.withColumn("_stored", F.when(F.col("_stored") != F.col("item_id"), F.col("_stored")))
+    stored = reusable(attempts).groupBy("group_key").agg(F.max(F.when(F.col("place") == 1, F.col("item_id"))).alias("_newest"), F.max(F.when(F.col("place") == 2, F.col("item_id"))).alias("_next"))
+    other = F.when(F.col("_newest") == F.col("item_id"), F.col("_next")).otherwise(F.col("_newest"))
     first = batch.where("accepted").groupBy("group_key").agg(F.min_by("item_id", place).alias("_leader"), F.min(place).alias("_at"))
-    out = joined.join(first, "group_key", "left")
     within = F.when(F.col(place) > F.col("_at"), F.col("_leader"))
-    return out.withColumn("source_id", F.coalesce("_stored", within)).drop("_stored", "_leader", "_at")
+    out = batch.join(stored, "group_key", "left").join(first, "group_key", "left")
+    return out.withColumn("source_id", F.coalesce(other, within)).drop("_newest", "_next", "_leader", "_at")
 
 
 def assembled(batch: DataFrame) -> DataFrame:

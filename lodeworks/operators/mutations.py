@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.functions.text import source_list, source_of
+from lodeworks.sources.store import SnapshotStore
+
+#: Fixed value: the method of a match that was taken over.
+SIBLING = "resolution_sibling"
+
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order."""
@@ -70,6 +76,29 @@ def record_outcomes(attempts: DataFrame, outcomes: DataFrame, as_of: Column) ->
     return upsert(attempts, incoming, "item_id")
 
 
+def source_column(item_id: Column) -> Column:
+    """The source as stored attempts keep it, read back: through the JSON list, null if none is named."""
+    return source_of(F.when(item_id.isNotNull(), source_list(item_id)))
+
+
+def save_reused(attempts: DataFrame, reused: DataFrame, as_of: Column) -> DataFrame:
+    """Attempts after matches were taken over (item_id, work_id, group_key, source_id, match_score).
+
+    They are matched by the sibling's method with one candidate, name their source in ``candidates``, and aren't due again.
+    """
+    prior = attempts.select("item_id", F.col("attempts").alias("_before"))
+    made = {
+        "status": F.lit("matched"),
+        "method": F.lit(SIBLING),
+        "candidates": source_list(F.col("source_id")),
+        "candidate_count": F.lit(1),
+        "attempts": F.coalesce("_before", F.lit(0)) + 1,
+        "attempted_at": as_of,
+        "next_retry_at": F.lit(None).cast("timestamp"),
+    }
+    return upsert(attempts, reused.join(prior, "item_id", "left").withColumns(made).drop("_before", "source_id"), "item_id")
+
+
 def save_bundle(store: dict[str, DataFrame], bundle: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All tables after a batch of matched bundles: four upserts and the works' people replaced."""
     out = dict(store)
@@ -79,6 +108,14 @@ def save_bundle(store: dict[str, DataFrame], bundle: dict[str, DataFrame]) -> di
     return out
 
 
+def write_bundle(store: SnapshotStore, bundle: dict[str, DataFrame], attempts: DataFrame, outcomes: DataFrame, as_of: Column) -> int:
+    """Matched works with all that belongs to them and the attempts that found them, visible together as one version; its number."""
+    version = store.version()
+    names = ("networks", "sites", "works", "people", "bridge")
+    old = {n: store.read(n, version) for n in names} if version else {n: bundle[n].limit(0) for n in names}
+    return store.write({**save_bundle(old, bundle), "attempts": record_outcomes(attempts, outcomes, as_of)})
+
+
 def null_missing(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Rows whose parent is gone point to none."""
     known = parents.select(F.col(parent_key).alias("_known")).distinct()

@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 MINUTE, HOUR, DAY = 60, 3600, 86400
 #: Seconds of a first cooldown, its ceiling, and that after a brief fault.
 COOLDOWN, COOLDOWN_CAP, BRIEF = 60, 900, 5
-BLOCKING, BRIEF_KINDS = ("blocked", "challenge"), ("server_error", "timeout", "network_error")
-CHALLENGE_MARKERS = ("Just a moment", "cf-browser-verification", "challenge-platform", "Attention Required", "DDoS protection", "captcha")
+#: Kinds that block a host and kinds after which it rests briefly.
+BLOCKING = ("blocked", "challenge")
+BRIEF_KINDS = ("server_error", "timeout", "connection_error")
+#: Texts that only interstitial pages hold, those of details pages, and that of a page that says "not found".
+CHALLENGE_MARKERS = (
+    "cf-browser-verification",
+    "_cf_chl_opt",
+    'id="challenge-form"',
+    "cf-error-details",
+    "Attention Required! | Cloudflare",
+    "Just a moment...",
+)
+DETAIL_MARKERS = ('class="detailsdiv"', 'class="detailsdescr"')
+MISSING_MARKERS = ('class="errordiv"',)
 
 
 def outcome_kind(status: Column, valid: Column | None = None, challenged: Column | None = None) -> Column:
     """Kind of a response, by status and what its page holds."""
     valid, challenged = F.lit(True) if valid is None else valid, F.lit(False) if challenged is None else challenged
     return (
-        F.when(status.isNull(), "network_error")
+        F.when(status.isNull(), "connection_error")
         .when(status == 404, "not_found")
         .when(status.isin(301, 302, 303, 307, 308), "redirect")
         .when(status.isin(403, 429), "blocked")
@@ -87,25 +99,28 @@ def pacing(log: DataFrame, order: list[str], gap: float, at: str = "at") -> Data
 
 
 def resting_events(resting: DataFrame) -> DataFrame:
-    """(day, at, change): when hosts start and stop to rest; overlapping rests of one host count once.
+    """(at, change): when hosts start and stop to rest; overlapping rests of one host count once.
 
-    ``resting``: host, day, begin, end.
+    ``resting``: host, begin, end. One host's rests are put in order by one task.
     """
-    before = Window.partitionBy("host", "day").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("host").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = resting.withColumn("_reach", F.max("end").over(before))
     opened = reach.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("_reach") < F.col("begin")), 1).otherwise(0))
-    piece = Window.partitionBy("host", "day").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
-    merged = opened.withColumn("_piece", F.sum("_new").over(piece)).groupBy("host", "day", "_piece").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    piece = Window.partitionBy("host").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
+    merged = opened.withColumn("_piece", F.sum("_new").over(piece)).groupBy("host", "_piece").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
     ends = F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("change")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("change"))))
-    return merged.select("day", ends.alias("e")).select("day", "e.at", "e.change")
+    return merged.select(ends.alias("e")).select("e.at", "e.change")
 
 
-def all_resting(resting: DataFrame, hosts: int) -> DataFrame:
-    """(day, at): moments at which the last of ``hosts`` hosts of a day starts to rest as well, each once.
+def all_resting(resting: DataFrame, hosts: int, span: int = DAY) -> DataFrame:
+    """(at): moments at which the last of ``hosts`` hosts starts to rest as well, each once.
 
-    Rests are swept per day, so that no task has to hold a whole log in order.
+    Moments are swept within spans of time, so that no task has to hold a whole log in order; how many
+    hosts rest when a span begins is the sum of all spans before it, one row each.
     """
-    moments = resting_events(resting).groupBy("day", "at").agg(F.sum("change").alias("change"))
-    sweep = Window.partitionBy("day").orderBy("at")
-    now = moments.withColumn("n", F.sum("change").over(sweep.rowsBetween(Window.unboundedPreceding, 0)))
-    return now.withColumn("_before", F.lag("n", 1, 0).over(sweep)).where((F.col("n") >= hosts) & (F.col("_before") < hosts)).select("day", "at")
+    moments = resting_events(resting).groupBy("at").agg(F.sum("change").alias("change")).withColumn("_span", F.floor(F.col("at") / span))
+    earlier = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = moments.groupBy("_span").agg(F.sum("change").alias("_sum")).select("_span", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    sweep = Window.partitionBy("_span").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    now = moments.join(carried, "_span").withColumn("_now", F.col("_carried") + F.sum("change").over(sweep))
+    return now.where((F.col("_now") >= hosts) & (F.col("_now") - F.col("change") < hosts)).select("at")

@@ -82,6 +82,36 @@ def advance(state: ScanState, floor: int, confirmed: bool, margin: int, as_of: i
     return replace(state, floor=floor, anchor=anchor, completed=done)
 
 
+def anchored(floors: DataFrame, margin: int, span: int = 1_000_000) -> DataFrame:
+    """``floors`` (floor, confirmed) with anchor and complete, as ``advance`` finds them floor by floor downwards.
+
+    The anchor is the highest floor of the run of confirmed ones that the floor is in; a run is complete from ``margin`` below
+    it on. Floors are put in order within spans of ids; of each span the last unconfirmed floor carries over.
+    """
+    own = floors.withColumns({"_span": F.floor(F.col("floor") / span), "_open": F.when(~F.col("confirmed"), F.col("floor"))})
+    above = Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = own.groupBy("_span").agg(F.min("_open").alias("_low"), F.max("floor").alias("_top"))
+    carried = edges.select("_span", F.min("_low").over(above).alias("_above"))
+    inside = Window.partitionBy("_span").orderBy(F.desc("floor")).rowsBetween(Window.unboundedPreceding, 0)
+    last = own.join(carried, "_span").withColumn("_last", F.coalesce(F.min("_open").over(inside), F.col("_above")))
+    begins = last.where("confirmed").groupBy("_last").agg(F.max("floor").alias("_anchor"))
+    joined = last.join(begins.withColumnRenamed("_last", "_of"), F.col("_last").eqNullSafe(F.col("_of")), "left")
+    anchor = F.when(F.col("confirmed"), F.col("_anchor"))
+    return joined.select(*floors.columns, anchor.alias("anchor"), (F.col("confirmed") & (anchor - F.col("floor") >= margin)).alias("complete"))
+
+
+def bootstrapped(state: ScanState, cutoff: int, newest: int) -> ScanState:
+    """The state before a first cycle, or with an earlier cutoff, which takes the scan up again; else as it is.
+
+    ``newest``: the largest id that the listing pages link to, 0 if none.
+    """
+    if state.cutoff is None:
+        return replace(state, scan_high=max(state.scan_high, newest - 1, 0), cutoff=cutoff, floor=newest or 1)
+    if cutoff < state.cutoff:
+        return replace(state, cutoff=cutoff, completed=None, anchor=None)
+    return state
+
+
 def listed_ids(pages: DataFrame, html: str, pattern: str) -> DataFrame:
     """The largest id that the pages link to, 0 without any."""
     found = pages.select(F.explode(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).alias("id"))

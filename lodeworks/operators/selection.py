@@ -50,11 +50,31 @@ ITEM_ORDERS = {
     "seeders": ["seeders", "desc"],
     "downloads": ["downloads", "desc"],
 }
+#: By entity, the default first.
 CATALOGUE_ORDERS = {
-    "works": {"popular": ["popularity", "desc", "title", "asc"], "newest": ["date", "desc", "title", "asc"], "title": ["title", "asc"]},
-    "sites": {"works": ["related_count", "desc", "name", "asc"], "name": ["name", "asc"], "network": ["secondary", "asc", "name", "asc"], "name_desc": ["name", "desc"]},
-    "networks": {"sites": ["related_count", "desc", "name", "asc"], "name": ["name", "asc"], "name_desc": ["name", "desc"]},
-    "people": {"works": ["related_count", "desc", "name", "asc"], "name": ["name", "asc"], "name_desc": ["name", "desc"], "newest": ["date", "desc", "name", "asc"], "oldest": ["date", "asc", "name", "asc"]},
+    "works": {
+        "popular": ["popularity", "desc", "date", "desc", "title", "asc"],
+        "newest": ["date", "desc", "title", "asc"],
+        "oldest": ["date", "asc", "title", "asc"],
+    },
+    "sites": {
+        "name": ["name", "asc"],
+        "name_desc": ["name", "desc"],
+        "works": ["related_count", "desc", "name", "asc"],
+        "network": ["secondary", "asc", "name", "asc"],
+    },
+    "networks": {
+        "name": ["name", "asc"],
+        "name_desc": ["name", "desc"],
+        "sites": ["related_count", "desc", "name", "asc"],
+    },
+    "people": {
+        "name": ["name", "asc"],
+        "name_desc": ["name", "desc"],
+        "works": ["related_count", "desc", "name", "asc"],
+        "newest": ["date", "desc", "name", "asc"],
+        "oldest": ["date", "asc", "name", "asc"],
+    },
 }
 
 
@@ -82,6 +102,14 @@ class PageInfo:
             number = 1
         return cls(min(max(1, number), max(1, math.ceil(total / size))), total, size)
 
+    @classmethod
+    def at(cls, page: str | int | None, total: int, size: int = PAGE_SIZE) -> "PageInfo":
+        """Like ``of``, but a page beyond the end stays, and is empty."""
+        try:
+            return cls(max(1, int(page or 1)), total, size)
+        except ValueError:
+            return cls(1, total, size)
+
     @property
     def pages(self) -> int:
         return max(1, math.ceil(self.total / self.size))

@@ -1,14 +1,21 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks.catalogue import Catalogue, NotFound
 from lodeworks.config import ConfigError, EngineConfig, origin
 from lodeworks.operators import catalogue, lineage, mapping, matching, mutations, outcomes, scan, selection
+from lodeworks.sources import store as store_module
+from lodeworks.sources.roles import Roles
 from lodeworks.sources.store import SnapshotStore
 from lodeworks.streaming import replay
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_cooldowns_escalate_reset_and_cap(spark):
     kinds = ["blocked"] * 3 + ["ok"] + ["blocked"] * 6 + ["server_error", "blocked", "blocked"]
     rows = [("h", k, kind, 0 if k == 11 else 1000 if k == 12 else None) for k, kind in enumerate(kinds)]
@@ -24,14 +31,15 @@ def test_pacing_spans(spark):
 
 
 def test_all_resting_counts_each_transition_once(spark):
-    rows = spark.createDataFrame([("a", 0, 0, 10), ("b", 0, 5, 8), ("a", 0, 9, 12), ("b", 0, 11, 20)], "host string, day int, begin int, end int")
-    assert sorted(r["at"] for r in outcomes.all_resting(rows, 2).collect()) == [5, 11]
+    rows = spark.createDataFrame([("a", 0, 10), ("b", 5, 8), ("a", 9, 12), ("b", 11, 20)], "host string, begin int, end int")
+    for span in (86400, 10, 6, 1):  # the state carries over from span to span
+        assert sorted(r["at"] for r in outcomes.all_resting(rows, 2, span).collect()) == [5, 11]
 
 
 def test_outcome_words(spark):
     status = [200, 404, 301, 403, 429, 500, 418, None]
     rows = spark.createDataFrame([(s,) for s in status], "status int")
-    assert [r.k for r in rows.select(outcomes.outcome_kind(F.col("status")).alias("k")).collect()] == ["ok", "not_found", "redirect", "blocked", "blocked", "server_error", "unexpected_status", "network_error"]
+    assert [r.k for r in rows.select(outcomes.outcome_kind(F.col("status")).alias("k")).collect()] == ["ok", "not_found", "redirect", "blocked", "blocked", "server_error", "unexpected_status", "connection_error"]
     words = spark.createDataFrame([("challenge",), ("unrecognized",), ("redirect",)], "k string")
     assert [r.w for r in words.select(outcomes.ledger_kind(F.col("k"), F.col("k") == "unrecognized").alias("w")).collect()] == ["blocked", "not_found", "redirect"]
 
@@ -71,6 +79,38 @@ def test_site_selection(spark):
     assert {r.item_id: r.site_id for r in got.collect()} == {1: 8, 2: 9}
 
 
+def test_reuse_of_stored_matches(spark):
+    """The latest independent match of another item, with batch and stored ids the same."""
+    day = lambda n: datetime.date(2024, 1, n)
+    stored = [(1, "k", "matched", "search", 0.9, day(1), 10), (2, "k", "matched", "search", 0.8, day(5), 20), (3, "k", "matched", "resolution_sibling", 0.9, day(8), 20), (4, "k", "matched", "parse_filename_first", 0.9, day(9), 40), (5, "k", "matched", "search", 0.9, day(9), None), (6, "k", "unmatched", "search", 0.9, day(9), 1), (7, "k", "matched", "search", None, day(9), 1), (8, "z", "matched", "legacy_sibling", 0.7, day(1), 5)]
+    table = spark.createDataFrame(stored, "item_id int, group_key string, status string, method string, match_score double, attempted_at date, work_id int")
+    batch = table.select("item_id", "group_key", F.col("item_id").alias("place"), F.lit(False).alias("accepted")).unionAll(spark.createDataFrame([(9, "z", 9, False), (10, None, 10, False)], "a int, b string, c int, d boolean"))
+    got = {r.item_id: r.source_id for r in matching.with_reuse(batch, table).collect()}
+    assert got == {1: 2, 2: 1, 3: 2, 4: 2, 5: 2, 6: 2, 7: 2, 8: None, 9: 8, 10: None}
+
+
+def test_pairs_of_enough_common_words_are_all_found(spark):
+    r = random.Random(1)
+    words = ["a", "b", "c", "the", "of", "alpha", "beta", "gamma", "delta", "omega"]
+    sets = lambda n: [(i, r.sample(words, r.randint(0, 7))) for i in range(n)]
+    left, right = sets(60), sets(40)
+    for share in (0.3, 0.5, 1.0):
+        want = {(i, j) for i, a in left for j, b in right if a and b and len({*a} & {*b}) >= share * min(len(a), len(b))}
+        tables = (spark.createDataFrame(x, f"{k} int, tokens array<string>") for x, k in ((left, "source_id"), (right, "candidate_id")))
+        assert want <= {tuple(p) for p in matching.likely_pairs(*tables, share).collect()}
+
+
+def test_the_site_that_is_found_is_expected_later(spark):
+    day = datetime.date(2024, 1, 1)
+    sources = spark.createDataFrame([(1, "Great Site", ["a", "b", "c", "d"], day), (2, "Other", ["a", "b", "c", "d"], day)], "item_id int, label string, tokens array<string>, day date")
+    sites = spark.createDataFrame([(1, 0, 7, "great-site", "-"), (2, 0, 8, "x", "-"), (2, 1, 9, "y", "-")], "item_id int, pos int, site_id int, name string, short_name string")
+    half = ["a", "b", "x", "y"]
+    rows = [(i, stage, 0, 10 * i + stage, f"t{stage}", half, day, 7, "renamed", "-") for i in (1, 2) for stage in (0, 1, 2)]
+    candidates = spark.createDataFrame(rows, "item_id int, stage int, pos int, candidate_id int, title string, tokens array<string>, day date, site_id int, site_name string, site_short_name string")
+    got = {r.item_id: (r.stage, r.candidate_id, r.candidate_count) for r in matching.cascade(sources, candidates, sites).collect()}
+    assert got == {1: (1, 11, 2), 2: (None, None, 2)}  # by name alone, no stage would accept; without a site its stage isn't asked
+
+
 def test_reuse_within_a_batch(spark):
     batch = spark.createDataFrame([(1, "k", 0, False), (2, "k", 1, True), (3, "k", 2, False), (4, "k", 3, True), (5, "z", 4, False)], "item_id int, group_key string, place int, accepted boolean")
     none = spark.createDataFrame([], "item_id int, group_key string, status string, method string, match_score double, attempted_at date, work_id int")
@@ -93,6 +133,37 @@ def test_lineage_repair(attempts):
     assert got[249] == (100, 0.5) and counts == {"deleted": 2, "updated": 151}
 
 
+def test_closure_of_long_chains_and_of_graphs(spark):
+    chain = spark.range(1, 20_001).selectExpr("id AS node", "id - 1 AS parent")
+    assert lineage.closure(spark.createDataFrame([(5_000,)], "node bigint"), chain).count() == 15_001
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 3), (4, 9), (6, 5), (None, 1), (7, None)], "node bigint, parent bigint")
+    assert {r.node for r in lineage.closure(spark.createDataFrame([(3,), (5,), (None,)], "node bigint"), edges).collect()} == {3, 4, 5, 6}
+    assert {r.node for r in lineage.closure(spark.createDataFrame([(2,)], "node bigint"), edges, pieces=1).collect()} == {1, 2, 3, 4}
+    loop = edges.where("node < 3")
+    assert lineage.closure(spark.createDataFrame([(9,)], "node bigint"), loop).count() == 1
+    assert {r.node for r in lineage.closure(spark.createDataFrame([(2,)], "node bigint"), loop).collect()} == {1, 2}
+
+
+def test_reused_matches_and_bundles_are_saved(spark, tmp_path):
+    schema = "item_id int, work_id int, group_key string, status string, method string, match_score double, candidates string, candidate_count int, attempts int, attempted_at timestamp, next_retry_at timestamp"
+    when = F.lit("2024-01-01").cast("timestamp")
+    old = spark.createDataFrame([(1, None, "k", "unmatched", "search", None, None, 7, 3, None, None)], schema)
+    new = spark.createDataFrame([(1, 5, "k", 9, 0.8), (2, 5, "k", 9, 0.8)], "item_id int, work_id int, group_key string, source_id int, match_score double")
+    rows = {r.item_id: r for r in mutations.save_reused(old, new, when).collect()}
+    assert (rows[1].attempts, rows[2].attempts, rows[1].status, rows[1].candidate_count) == (4, 1, "matched", 1)
+    assert rows[2].candidates == '[{"source_item_id":9}]' and rows[1].next_retry_at is None
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    part = {n: spark.createDataFrame([(1, "a")], f"{k} int, name string") for n, k in (("networks", "network_id"), ("sites", "site_id"), ("works", "work_id"), ("people", "person_id"))}
+    part["bridge"] = spark.createDataFrame([(1, 1, 0)], "work_id int, person_id int, ordinal int")
+    outcome = spark.createDataFrame([(1, 1, "matched", "search", 0.9, None)], "item_id int, work_id int, status string, method string, match_score double, wait int")
+    none = spark.createDataFrame([], "item_id int, work_id int, status string, method string, match_score double, attempts int, attempted_at timestamp, next_retry_at timestamp")
+    assert mutations.write_bundle(store, part, none, outcome, when) == 1
+    again = {n: df.withColumn("name", F.lit("b")) if n != "bridge" else df.withColumn("person_id", F.lit(2)) for n, df in part.items()}
+    assert mutations.write_bundle(store, again, store.read("attempts"), outcome, when) == 2
+    assert store.read("works").first().name == "b" and store.read("works", 1).first().name == "a"
+    assert [r.person_id for r in store.read("bridge").collect()] == [2] and store.read("attempts").first().attempts == 2
+
+
 def test_mutations(spark):
     ledger = spark.createDataFrame([(1, "gone", 2), (2, "frontier_missing", 1)], "item_id int, status string, attempts bigint")
     more = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (3, "c", 1)], "item_id int, status string, at int")
@@ -125,6 +196,52 @@ def test_scan(spark):
     assert scan.window_is_old(items, ledger, 1, 3, F.lit("2021-01-01").cast("date")).first().confirmed
 
 
+def test_bootstrap_and_anchors(spark):
+    first = scan.bootstrapped(scan.ScanState(), 100, 50)
+    assert (first.cutoff, first.floor, first.scan_high) == (100, 50, 49) and scan.bootstrapped(scan.ScanState(), 100, 0).floor == 1
+    done = scan.ScanState(highest=9, floor=3, cutoff=100, completed=7, anchor=5)
+    assert scan.bootstrapped(done, 100, 50) == done
+    earlier = scan.bootstrapped(done, 90, 50)
+    assert (earlier.cutoff, earlier.completed, earlier.anchor, earlier.floor) == (90, None, None, 3)
+    r = random.Random(4)
+    floors = [(1000 - 7 * k, r.random() < 0.8) for k in range(60)]
+    state, want = scan.ScanState(), {}
+    for floor, old in floors:
+        state = scan.advance(scan.ScanState(anchor=state.anchor), floor, old, 20, 1)
+        want[floor] = (state.anchor, state.completed is not None)
+    table = spark.createDataFrame(floors, "floor int, confirmed boolean")
+    for span in (1_000_000, 50, 7):
+        assert {x.floor: (x.anchor, x.complete) for x in scan.anchored(table, 20, span).collect()} == want
+
+
+def test_reader_surface(spark):
+    read = Catalogue(Roles(spark, SF))
+    listing = read.list_items(page="99")
+    assert listing.page.page == 99 and listing.records.count() == 0 and listing.total == listing.total_all == 1500
+    assert read.list_entities("people", page="x").page.page == 1 and read.list_entities("works", " ", " ").total == 150
+    assert {*read.list_items().facets} == {"categories", "tags"} and not read.list_entities("sites").facets
+    assert read.get_item(3).first().item_id == 3 and read.get_entity("networks", "1").parts["sites"].count() == 5
+    for ask in (lambda: read.get_item("x"), lambda: read.get_item(10**9), lambda: read.get_entity("works", "no"), lambda: read.get_entity("works", 10**9), lambda: read.get_entity("films", 1), lambda: read.list_entities("films")):
+        with pytest.raises(NotFound):
+            ask()
+
+
+def test_text_keys_have_to_be_uuids(spark):
+    class Tables:
+        works = spark.createDataFrame([("0b0e7c5e-0000-4000-8000-000000000001", "T")], "work_id string, title string")
+
+    read = Catalogue(Tables)
+    assert read._key(Tables.works, "work_id", "{0B0E7C5E000040008000000000000001}") == "0b0e7c5e-0000-4000-8000-000000000001"
+    with pytest.raises(NotFound):
+        read._key(Tables.works, "work_id", "17")
+
+
+def test_images_of_people(spark):
+    rows = [("a", "", None, '["p", {"url": "q"}, {"url": 5}, 7, null, "a"]', '{"profile": {"image": "r", "face": 4, "posters": ["s", {"url": "t"}]}, "site_profile": {"thumbnail": "u", "posters": null}}'), (None, None, None, "bad", "bad"), (None, "f", None, None, '{"profile": []}')]
+    table = spark.createDataFrame(rows, "image_url string, face_url string, thumbnail_url string, posters string, metadata string")
+    assert [r.i for r in table.select(catalogue.person_images().alias("i")).collect()] == [["a", "p", "q", "r", "s", "t", "u"], [], ["f"]]
+
+
 def test_selection(spark):
     rows = spark.createDataFrame([(1, "Some Title", None, "A", ["x", "y"], 5), (2, None, "title-giver", "B", None, None), (3, "z", None, "A", [], 9)], "item_id int, title string, uploader string, category string, tags array<string>, size_bytes int")
     ids = lambda c: {r.item_id for r in rows.where(c).collect()}
@@ -163,6 +280,24 @@ def test_store_keeps_versions(spark, tmp_path):
     assert store.version() == 2 and store.read("t").count() == 2 and store.read("t", 1).count() == 3
 
 
+def test_a_version_is_there_whole_or_not(spark, tmp_path, monkeypatch):
+    one, two = (SnapshotStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one.write({"t": spark.range(3)})
+    monkeypatch.setattr(one, "version", lambda: 0)  # it hasn't seen the other's version
+    with pytest.raises(FileExistsError):
+        one.write({"t": spark.range(9)})
+    monkeypatch.undo()
+
+    def crash(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store_module, "publish", crash)
+    with pytest.raises(OSError):
+        one.write({"t": spark.range(9)})
+    monkeypatch.undo()
+    assert two.version() == 1 and two.read("t").count() == 3 and one.write({"t": spark.range(5)}) == 2
+
+
 def test_ledger_stream(spark, tmp_path):
     log = spark.createDataFrame([(1, 5, 404), (1, 6, 429), (2, 5, 200)], "item_id bigint, at bigint, status int").coalesce(1)
     for _ in range(2):
