@@ -87,7 +87,6 @@ OTHER = [
     "Critics say copyright terms are too long.",
     "The warranty on the car has expired.",
 ]
-ANCHOR = r"(?i)licen[cs]|copyright|public domain|rights reserved|permission|redistribut|warrant|creative commons|\bcc[ -]by\b|spdx|unencumbered|reproduced"
 FEATURES, VARIANTS, MIN_PROBABILITY, MIN_SIMILARITY = 1 << 13, 20, 0.5, 0.6
 
 
@@ -130,9 +129,10 @@ def training_set(corpus: DataFrame, max_negatives: int) -> DataFrame:
     made = base.select("family", lacks.alias("words"), (F.col("variant") % 5 == 4).alias("held"))
     share = min(1.0, max_negatives / max(1, corpus.count()))
     chosen = corpus.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))))
-    plain = chosen.select(F.explode(F.split("text", r"[\n\r]+")).alias("paragraph")).where(~F.col("paragraph").rlike(ANCHOR))  # those with such words may be notices
+    plain = chosen.select(F.explode(F.split("text", r"[\n\r]+")).alias("paragraph"))
     negative = plain.select(F.lit(NONE).alias("family"), words(F.col("paragraph")).alias("words"), (F.crc32(F.col("paragraph").cast("binary")) % 5 == 4).alias("held"))
-    return made.unionAll(negative).where(F.size("words") > 0)
+    negative = negative.where(similarity(pairs(F.col("words"))) < MIN_SIMILARITY)  # the others may be notices
+    return made.unionAll(negative.repartition(1)).where(F.size("words") > 0)  # about ``max_negatives`` documents' paragraphs
 
 
 class Classifier:
@@ -143,12 +143,12 @@ class Classifier:
         self.hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="features")
         rows = training_set(corpus, max_negatives).withColumn("grams", grams(F.col("words")))
         label = F.array_position(F.lit(self.families), F.col("family")) - 1
-        rows = stored(rows.withColumn("label", label.cast("double")).coalesce(1), "licence_training")
+        rows = stored(rows.withColumn("label", label.cast("double")), "licence_training").coalesce(1)
         fitting = LogisticRegression(maxIter=30, regParam=0.0005, elasticNetParam=0.5, family="multinomial")
         self.model: LogisticRegressionModel = fitting.fit(self.hashing.transform(rows.where("not held")).select("features", "label"))
         held = self._probabilities(rows.where("held AND family = 'none'"))
         top = held.agg(F.percentile("best", F.lit(0.999))).first()[0]
-        self.threshold = max(MIN_PROBABILITY, min(top or 0.0, 0.9))
+        self.threshold = max(MIN_PROBABILITY, top or 0.0)
 
     def _probabilities(self, rows: DataFrame) -> DataFrame:
         """``rows`` (grams) with family, best (its probability, of those that are no ``none``) and none."""
@@ -165,8 +165,9 @@ class Classifier:
         return self._probabilities(rows).select(*kept, F.col("family").alias("_family"), F.col("best").alias("_probability"), F.col("none").alias("_none"))
 
 
-def similarity(own_pairs: Column, family: Column) -> Column:
-    """Largest share of a template of the family whose word pairs are among the given ones."""
+def similarity(own_pairs: Column, family: Column | None = None) -> Column:
+    """Largest share of a template, of the family or of any, whose word pairs are among the given ones."""
+
     def among(own):
         best = F.lit(0.0)
         for name, texts in TEMPLATES.items():
@@ -174,7 +175,7 @@ def similarity(own_pairs: Column, family: Column) -> Column:
             for t in texts:
                 target = pairs(words(F.lit(t)))
                 shares.append(F.size(F.array_intersect(own, target)) / F.size(target))
-            best = F.when(family == name, F.greatest(F.lit(0.0), *shares)).otherwise(best)
+            best = F.greatest(best, *shares) if family is None else F.when(family == name, F.greatest(F.lit(0.0), *shares)).otherwise(best)
         return best
 
     return _bound(own_pairs, among)
@@ -185,7 +186,7 @@ def scan(docs: DataFrame, max_negatives: int = 500, id_col: str = "doc_id", text
 
     ``paragraph``: its number in the text, from 0, lines without text counted; ``notice``: its
     text; ``licence``: the family, or ``unknown`` where the threshold or the templates
-    don't confirm it. Null and empty texts and paragraphs that are no licence give no row; identical rows give
+    don't confirm it; of equally likely families the last one named in TEMPLATES. Null and empty texts and paragraphs that are no licence give no row; identical rows give
     identical rows; an empty table gives none. Further columns aren't read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
