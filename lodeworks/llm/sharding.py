@@ -113,15 +113,23 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = 4096, path: str | None
 
     ``size``: UTF-8 bytes of the text (null: none) plus 1; ``slot``: the row's number in its shard,
     from 0 without gaps, by virtual slot, id and text. A record's virtual slot follows from its
-    id and text, so copies under different ids spread over all shards and repeated rows
-    share a slot. Empty tables give no rows and an unedited map; further columns aren't read.
+    id and text, so copies under different ids spread over all shards. Repeated rows
+    share a slot, but if together they hold more than a slot's mean, they spread over as many slots as that takes.
+    Empty tables give no rows and an unedited map; further columns aren't read.
     """
     text = F.col(text_col).cast("string")
     doc_id = F.col(id_col).cast("long")
     crc = F.coalesce(F.crc32(text.cast("binary")), F.lit(0))
     own = docs.select(doc_id.alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1).cast("long")).alias("size"), crc.alias("text_crc32"))
-    own = own.withColumns({"virtual_slot": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"), "row": F.monotonically_increasing_id()})
-    own = stored(own, "records")  # the row numbers are fixed from here on
+    own = stored(own.withColumn("row", F.monotonically_increasing_id()), "records")  # the row numbers are fixed from here on
+    mean = (own.agg(F.sum("size")).first()[0] or 0) / slots
+    record = ["doc_id", "text_crc32", "size"]
+    heavy = own.groupBy(*record).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") * F.col("size") > mean))
+    heavy = F.broadcast(heavy.select(*(F.col(c).alias(f"_{c}") for c in record), F.ceil(F.col("n") * F.col("size") / max(mean, 1)).alias("pieces")))  # no more than slots
+    own = own.join(heavy, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size")), "left")
+    piece = F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1)))
+    own = own.select("doc_id", "size", "text_crc32", "row", F.pmod(F.xxhash64("doc_id", "text_crc32", piece), F.lit(slots)).cast("int").alias("virtual_slot"))
+    own = stored(own, "slotted")
     found = own.groupBy("virtual_slot").agg(F.sum("size"), F.count(F.lit(1))).collect()  # one row for each slot at most
     sizes = np.zeros(slots)
     for s, size, _ in found:

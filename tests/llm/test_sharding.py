@@ -49,3 +49,30 @@ def test_versions_and_growth(spark, docs):
     assert all(b in (a, 4) for a, b in zip(made.slot_map.shard_of, grown.shard_of)) and 4 in grown.shard_of
     load = np.bincount(grown.shard_of, made.sizes)
     assert load.max() < 1.3 * load.mean()
+
+
+def test_query_equals_brute_force(spark):
+    """Places that follow from the stored map, one row after the other."""
+    made = sharding.shard(spark.read.parquet(f"{SF}/documents.parquet"), shards=16, slots=4096)
+    rows = made.rows.collect()
+    expected = spark.createDataFrame([(r.doc_id, r.text_crc32) for r in rows], "doc_id long, text_crc32 long").selectExpr("doc_id", "text_crc32", "cast(pmod(xxhash64(doc_id, text_crc32, 0L), 4096) as int) AS v")
+    slot = {(r.doc_id, r.text_crc32): r.v for r in expected.collect()}
+    assert len(slot) == len(rows)
+    by = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.virtual_slot, r.doc_id, r.text_crc32)):
+        assert r.virtual_slot == slot[r.doc_id, r.text_crc32] and r.shard == made.slot_map.shard_of[r.virtual_slot]
+        by[r.shard].append(r)
+    for own in by.values():
+        assert [r.slot for r in own] == list(range(len(own)))
+
+
+def test_one_record_of_half_of_all_rows_spreads(spark):
+    rows = [(7, "the same text over and over again")] * 3000 + [(None, None)] * 1000 + [(k, f"text number {k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = sharding.shard(docs, shards=16, slots=512).rows.collect()
+    load = collections.Counter()
+    for r in out:
+        load[r.shard] += r.size
+    assert len(out) == len(rows) and max(load.values()) < 1.05 * sum(load.values()) / 16
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
