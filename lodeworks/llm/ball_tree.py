@@ -1,4 +1,6 @@
-"""Exact top-k inner-product search with a ball tree per shard of vectors.
+"""Exact top-k inner-product search with ball trees per shard of vectors.
+
+Trees of bounded size are built once and stored; each block of queries then searches all of them.
 
 A node of centre c and radius r has no vector whose product with q exceeds
 q.c + |q| r. Nodes are visited in the order of that bound, and left out once it is below
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.common import stored
 
-#: Vectors in a leaf, vectors in a tree, queries in a block on average, vectors that set the first bound.
-LEAF, TREE, BLOCK, SEED = 128, 16_384, 4_096, 2_048
+#: Vectors in a leaf, vectors and bytes in a tree, queries in a block on average, vectors that set the first bound.
+LEAF, TREE, TREE_BYTES, BLOCK, SEED = 128, 16_384, 16_000_000, 4_096, 2_048
 LOW = np.iinfo(np.int64).min + 1  # can be negated
 
 
@@ -61,25 +63,34 @@ class Best:
 
 
 class BallTree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.x = ids, vectors
-        self.order = np.arange(len(ids))
-        self.root = self._node(0, len(ids))
-        self.ids, self.x = ids[self.order], vectors[self.order]
-
-    def _node(self, low: int, high: int):
-        own = self.x[self.order[low:high]].astype(np.float64)
-        centre = own.mean(0)
-        away = np.sqrt(((own - centre) ** 2).sum(1))
-        node = [centre, float(away.max()), low, high, None]
-        if high - low > LEAF and node[1] > 0:
-            one = own[away.argmax()]
-            far = own[((own - one) ** 2).sum(1).argmax()]
-            middle = (high - low) // 2
-            split = np.argpartition(own @ (far - one), middle)
-            self.order[low:high] = self.order[low:high][split]
-            node[4] = (self._node(low, low + middle), self._node(low + middle, high))
-        return node
+    """Vectors in the order of a tree's leaves, and its nodes: centre, radius, first and past the last vector, children (0: none)."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, centre: np.ndarray, radius: np.ndarray, links: np.ndarray):
+        self.ids, self.x, self.centre, self.radius, self.links = ids, x, centre, radius, links
+
+    @classmethod
+    def build(cls, ids: np.ndarray, x: np.ndarray) -> "BallTree":
+        order = np.arange(len(ids))
+        centres, radii, links = [], [], []
+        todo = [(0, len(ids), -1, 0)]
+        while todo:
+            low, high, parent, side = todo.pop()
+            own = x[order[low:high]].astype(np.float64)
+            centre = own.mean(0)
+            away = np.sqrt(((own - centre) ** 2).sum(1))
+            node = len(links)
+            centres.append(centre)
+            radii.append(float(away.max()))
+            links.append([low, high, 0, 0])
+            if parent >= 0:
+                links[parent][2 + side] = node
+            if high - low > LEAF and radii[-1] > 0:
+                one = own[away.argmax()]
+                far = own[((own - one) ** 2).sum(1).argmax()]
+                middle = (high - low) // 2
+                order[low:high] = order[low:high][np.argpartition(own @ (far - one), middle)]
+                todo += [(low, low + middle, node, 0), (low + middle, high, node, 1)]
+        return cls(ids[order], x[order], np.array(centres), np.array(radii), np.array(links, np.int64))
 
     def search(self, q: np.ndarray, best: Best) -> None:
         float_q = q.astype(np.float64)
@@ -87,17 +98,16 @@ class BallTree:
         slack = 1 + 1e-9 * norm * (np.abs(self.x).max(initial=0) + 1.0) * q.shape[1]  # for rounding
 
         def upper(node, rows):
-            return float_q[rows] @ node[0] + norm[rows] * node[1] + slack[rows]
+            return float_q[rows] @ self.centre[node] + norm[rows] * self.radius[node] + slack[rows]
 
         def visit(node, rows, bound):
             rows = rows[bound >= best.bound(rows)]
             if not len(rows):
                 return
-            if node[4] is None:
-                part = slice(node[2], node[3])
-                best.offer(rows, products(q[rows], self.x[part]), self.ids[part])
+            low, high, a, b = self.links[node]
+            if not a:
+                best.offer(rows, products(q[rows], self.x[low:high]), self.ids[low:high])
                 return
-            a, b = node[4]
             upper_a, upper_b = upper(a, rows), upper(b, rows)
             first = upper_a >= upper_b
             for go in (first, ~first):  # each query takes the child of the higher bound first
@@ -107,7 +117,32 @@ class BallTree:
                 visit(two, rows[go], bounds[1][go])
 
         rows = np.arange(len(q))
-        visit(self.root, rows, upper(self.root, rows))
+        visit(0, rows, upper(0, rows))
+
+
+def trees(rows: DataFrame, scale: float) -> DataFrame:
+    """(d, ids, x, centre, radius, links): ball trees over all vectors (vec_id, vector) of each partition, their arrays as bytes."""
+
+    def made(batches):
+        held: dict[int, list] = {}
+
+        def flush(d):
+            own, x = (np.concatenate(c) for c in zip(*held.pop(d)))
+            t = BallTree.build(own, x)
+            return pa.RecordBatch.from_arrays([pa.array([d]), *(pa.array([a.tobytes()], pa.binary()) for a in (t.ids, t.x, t.centre, t.radius, t.links))], ["d", "ids", "x", "centre", "radius", "links"])
+
+        for batch in batches:
+            own = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            for d, at, x in _matrix(batch.column("vector"), scale):
+                size = max(1, min(TREE, TREE_BYTES // (8 * d)))
+                for s in range(0, len(at), size):
+                    held.setdefault(d, []).append((own[at[s : s + size]], x[s : s + size]))
+                    if sum(len(i) for i, _ in held[d]) >= size:
+                        yield flush(d)
+        for d in sorted(held):
+            yield flush(d)
+
+    return rows.mapInArrow(made, "d long, ids binary, x binary, centre binary, radius binary, links binary")
 
 
 def _matrix(column: pa.Array, scale: float):
@@ -125,7 +160,7 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return two.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & finite)
 
 
-def _search_block(rows: DataFrame, queries: pa.Table, k: int, scale: float) -> DataFrame:
+def _search_block(forest: DataFrame, queries: pa.Table, k: int, scale: float) -> DataFrame:
     ids = queries.column("vec_id").combine_chunks().to_numpy()
     by_size, floors = {}, {}
     for d, at, q in _matrix(queries.column("vector").combine_chunks(), scale):
@@ -134,35 +169,25 @@ def _search_block(rows: DataFrame, queries: pa.Table, k: int, scale: float) -> D
             part = slice(s, min(s + LEAF, SEED, len(at)))
             first.offer(np.arange(len(at)), products(q, q[part]), ids[at][part])
         by_size[d], floors[d] = (at, q), first.score[:, -1]
-    shared = rows.sparkSession.sparkContext.broadcast((ids, by_size, floors))  # one block of queries
+    shared = forest.sparkSession.sparkContext.broadcast((ids, by_size, floors))  # one block of queries
 
     def search(batches):
         ids, by_size, floors = shared.value
         best = {d: Best(ids[at], k, floors[d]) for d, (at, _) in by_size.items()}
-        held: dict[int, list] = {d: [] for d in by_size}
-
-        def flush(d):
-            if held[d]:
-                own, x = (np.concatenate(c) for c in zip(*held[d]))
-                held[d] = []
-                BallTree(own, x).search(by_size[d][1], best[d])
-
         for batch in batches:
-            own = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            for d, at, x in _matrix(batch.column("vector"), scale):
-                if d in by_size:
-                    for s in range(0, len(at), TREE):
-                        held[d].append((own[at[s : s + TREE]], x[s : s + TREE]))
-                        if sum(len(i) for i, _ in held[d]) >= TREE:
-                            flush(d)
+            for row in range(len(batch)):
+                d = batch.column("d")[row].as_py()
+                if d not in by_size:
+                    continue
+                own, x, centre, radius, links = (np.frombuffer(batch.column(c)[row].as_buffer(), t) for c, t in (("ids", "<i8"), ("x", "<i8"), ("centre", "<f8"), ("radius", "<f8"), ("links", "<i8")))
+                BallTree(own, x.reshape(-1, d), centre.reshape(-1, d), radius, links.reshape(-1, 4)).search(by_size[d][1], best[d])
         for d in by_size:
-            flush(d)
             b = best[d]
             q, r = np.nonzero((b.score > LOW) & (b.score >= b.floor[:, None]))
             at = by_size[d][0][q]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids[at]), pa.array(b.id[q, r]), pa.array(b.score[q, r])], ["query_row", "query_id", "vec_id", "score"])
 
-    found = rows.mapInArrow(search, "query_row long, query_id long, vec_id long, score long")
+    found = forest.mapInArrow(search, "query_row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -182,10 +207,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     blocks = -(-count // BLOCK)
     if not blocks:
         return rows.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "vec_id AS score").limit(0)
+    forest = stored(trees(rows, scale), "trees")
     out = None
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        found = _search_block(rows, own.toArrow(), k, scale)
+        found = _search_block(forest, own.toArrow(), k, scale)
         if blocks > 1:
             found = stored(found, "top_k")
         out = found if out is None else out.unionAll(found)
