@@ -24,7 +24,9 @@ from lodeworks.llm.tokens import slices
 #: Different letters told apart; all others are one, and all that is no letter another. Seven bits each.
 ALPHABET = 126
 BITS = 7
-PART_BYTES, PART_ROWS = 2_000_000, 512
+PART_BYTES, PART_ROWS = 1_000_000, 512
+#: Labelled texts besides the landmarks that it takes to say what share of n-grams known languages have.
+CALIBRATE = 100
 _LETTERS: list[np.ndarray] = []
 
 
@@ -68,14 +70,18 @@ class Model:
     codes: np.ndarray  # the n-gram of each feature, ascending
     weights: np.ndarray  # features x languages
     bias: np.ndarray
+    floor: float = 0.0  # half of the least share of known n-grams among labelled texts that are no landmarks; 0: too few of these
 
-    def presence(self, texts: list[str], symbol: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of unit length with the features of each text, and whether it has a letter."""
+    def presence(self, texts: list[str], symbol: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of unit length with the features of each text, whether it has a letter, and the share of its n-grams that are features."""
         codes, owner, has = _codes(texts, symbol)
+        at = feature[codes]
         there = np.zeros((len(texts), len(self.codes) + 1), np.float32)
-        there[owner, feature[codes]] = 1
+        there[owner, at] = 1
         there = there[:, :-1]
-        return there / np.sqrt(np.maximum(there.sum(1), 1))[:, None], has
+        size = np.bincount(owner, minlength=len(texts))
+        known = 1 - np.bincount(owner[at == len(self.codes)], minlength=len(texts)) / np.maximum(size, 1)
+        return there / np.sqrt(np.maximum(there.sum(1), 1))[:, None], has, known
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbols by code point, and features by n-gram (one past the last: none)."""
@@ -83,14 +89,15 @@ class Model:
         feature[self.codes] = np.arange(len(self.codes))
         return _symbols(self.alphabet), feature
 
-    def predict(self, texts: list[str], tables) -> tuple[list[str], np.ndarray]:
-        rows, has = self.presence(texts, *tables)
+    def predict(self, texts: list[str], tables) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and the share of its n-grams that the model knows."""
+        rows, has, known = self.presence(texts, *tables)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), known
         scores = rows @ self.weights + self.bias
         best = scores.argmax(1)
         names = [self.languages[b] if h else "und" for b, h in zip(best, has)]
-        return names, np.where(has, np.clip(scores.max(1), 0, 1), 0).astype(float)
+        return names, np.where(has, np.clip(scores.max(1), 0, 1), 0).astype(float), known
 
 
 def train(samples: list[tuple[str, str]], landmarks: int, ridge: float = 0.1) -> Model:
@@ -115,45 +122,63 @@ def train(samples: list[tuple[str, str]], landmarks: int, ridge: float = 0.1) ->
     tables = empty.tables()
 
     def rows(of):
-        return np.concatenate([empty.presence(of[i : i + PART_ROWS], *tables)[0] for i in range(0, len(of), PART_ROWS)])
+        """Features and known shares of texts, a part at a time."""
+        for i in range(0, len(of), PART_ROWS):
+            there, _, known = empty.presence(of[i : i + PART_ROWS], *tables)
+            yield there, known
 
-    base = rows(marks)
+    base = np.concatenate([there for there, _ in rows(marks)])
     value, vector = np.linalg.eigh((base @ base.T).astype(np.float64))
     some = value > 1e-6 * value.max()
     whiten = vector[:, some] / np.sqrt(value[some])
-    z = np.concatenate([rows(texts[i : i + PART_ROWS]) @ base.T for i in range(0, len(texts), PART_ROWS)]) @ whiten
+    near, known = zip(*((there @ base.T, known) for there, known in rows(texts)))
+    others = np.concatenate(known)[np.array(number) >= landmarks]
+    floor = float(others.min()) / 2 if len(others) >= CALIBRATE else 0.0
+    z = np.concatenate(near) @ whiten
     y = np.array([[lang == one for one in languages] for _, lang in samples], float)
     middle, bias = z.mean(0), y.mean(0)
     z -= middle
     beta = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ (y - bias))
-    return Model(languages, alphabet, codes, (base.T @ (whiten @ beta)).astype(np.float32), bias - middle @ beta)
-
-
-def fit(docs: DataFrame, labelled: Column, per_language: int = 1000, landmarks: int = 64, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> Model:
+    return Model(languages, alphabet, codes, (base.T @ (whiten @ beta)).astype(np.float32), bias - middle @ beta, floor)
+
+
+def fit(
+    docs: DataFrame,
+    labelled: Column,
+    per_language: int = 1000,
+    landmarks: int = 64,
+    language_bytes: int = 16_000_000,
+    languages: int = 500,
+    lang_col: str = "lang",
+    text_col: str = "text",
+    key_col: str = "doc_id",
+) -> Model:
     """A model from a sample of the labelled rows.
 
     Rows for which ``labelled`` is true and whose text and language aren't null are
-    drawn by the hash of key and text, about ``per_language`` of each language (all, if it has fewer); that bounds
-    what the driver gathers. Languages themselves are few: the model holds weights for each.
+    drawn by the hash of key and text: about ``per_language`` rows and ``language_bytes`` of whole texts of each language at
+    most (all, if it has fewer), from the ``languages`` most frequent ones. That bounds what the driver gathers.
     """
     rows = docs.where(labelled).select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 40)).alias("draw")
     share = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        share |= (F.col("lang") == lang) & (F.col("draw") < F.lit(int(min(1, per_language / n) * (1 << 40))))
+    for r in counts:
+        part = min(1, per_language / r.n, language_bytes / max(1, r.size))
+        share |= (F.col("lang") == r.lang) & (F.col("draw") < F.lit(int(part * (1 << 40))))
     drawn = rows.withColumn("draw", draw).where(share).select("draw", "text", "lang").collect() if counts else []
     return train([(r.text, r.lang) for r in sorted(drawn, key=lambda r: (r.draw, r.text, r.lang))], landmarks)
 
 
-def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns and rows of ``docs`` with lang_pred and score, which replace columns of these names.
+def predicted(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """All columns and rows of ``docs`` with lang_pred, score and known, or what ``names`` calls them; they replace columns of these names.
 
     ``und`` with score 0: the text is null or has no letter, or no language is
-    known. The score is the winner's regression value, held within 0 and 1.
+    known. The score is the winner's regression value, held within 0 and 1; equal ones go to the language whose name is
+    less. ``known``: the share of the text's n-grams that the model has learnt; in an unknown script it lies below the model's ``floor``.
     """
-    plain = docs.drop("lang_pred", "score")
+    plain = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by alphabet and landmarks
 
     def scored(batches):
@@ -163,8 +188,8 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
             for big in slices(batch, text_col, PART_BYTES):
                 for at in range(0, len(big), PART_ROWS):
                     part = big.slice(at, PART_ROWS)
-                    names, score = model.predict([t or "" for t in part.column(text_col).to_pylist()], tables)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
+                    langs, score, known = model.predict([t or "" for t in part.column(text_col).to_pylist()], tables)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(known)], [*part.schema.names, *names])
 
-    schema = T.StructType([*plain.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*plain.schema, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.DoubleType())))])
     return plain.mapInArrow(scored, schema)
