@@ -5,9 +5,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.llm import packing, queries
-from lodeworks.llm.tokens import BpeEncoder
+from lodeworks.llm.tokens import BpeEncoder, slices
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +64,22 @@ def test_odd_rows_and_empty_table(spark, odd_docs, reference, tmp_path):
     assert packing.pack(odd_docs.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_many_slices_of_a_batch(spark, docs, reference, monkeypatch):
+    """Batches cut into slices of one text or a few, with tokens that carry over from slice to slice."""
+    monkeypatch.setattr(packing, "slices", lambda batch, column: slices(batch, column, 3_000))
+    rows = packing.pack(docs.coalesce(1), queries.tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).collect()
+    _check(rows, docs.collect(), reference)
+
+
+def test_slices_have_the_ids_of_their_texts(docs, odd_docs):
+    texts = [r.text for r in docs.collect()] + [r.text for r in odd_docs.collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]).slice(11)
+    encoder = BpeEncoder.load(queries.tokenizer_path())
+    want, counts = encoder.encode(pa.array(texts[11:]))
+    parts = [encoder.encode(part.column("text")) for part in slices(batch, "text", 2_000)]
+    assert len(parts) > 50 and (np.concatenate([p[0] for p in parts]) == want).all() and (np.concatenate([p[1] for p in parts]) == counts).all()
+
+
 def test_pieces_keep_the_order_of_documents(spark, docs):
     one = packing.pack(docs.coalesce(1), queries.tokenizer_path()).collect()
     assert [r.doc_id for r in one] == sorted(r.doc_id for r in one)
