@@ -13,8 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from lodeworks.llm.common import stored
+from lodeworks.llm.common import stored, stored_alone, unused
 from lodeworks.llm.components import components
 from lodeworks.llm.tokens import slices
 
@@ -71,16 +72,17 @@ def fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fingerprint as a signed 64-bit integer) of every row."""
+    """(doc_id, text_key, fingerprint) of every row; text_key: a hash of the text; fingerprint: as a signed 64-bit integer."""
 
     def made(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 print_of = fingerprints(part.column("text"), shingle).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_of)], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(print_of)], ["doc_id", "text_key", "fingerprint"])
 
-    two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return two.mapInArrow(made, "doc_id long, fingerprint long")
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return own.mapInArrow(made, "doc_id long, text_key long, fingerprint long")
 
 
 def _forest(hit: np.ndarray):
@@ -172,18 +174,42 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row.
+    """(doc_id, text_key, fingerprint, label, component_id) of every row.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII blanks; a text of fewer than
     ``shingle`` words is one shingle, a text without words or a null one has fingerprint
-    zero and is linked like any other. ``component_id``: the smallest id that links reach, the row's own
-    included; a null id keeps its row and never names a component unless all its ids are null.
-    Rows that share an id stay apart rows. An empty table gives no rows; further columns aren't read.
+    zero and is linked like any other. ``label``: the least fingerprint of the component, its name; ``component_id``: the
+    smallest id that links reach, the row's own included; a null id keeps its row and never names a component unless all its
+    ids are null. ``text_key``: Spark's XXH64 of the text. Rows that share an id stay apart rows. An empty table gives no rows;
+    further columns aren't read.
     """
     own = stored(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
     prints = own.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     labels = components(links(prints.select("fingerprint"), radius), "a", "b")
     named = prints.join(labels, prints.fingerprint == labels.node, "left").select("fingerprint", "first_id", F.coalesce("label", "fingerprint").alias("label"))
     groups = stored(named.groupBy("label").agg(F.min("first_id").alias("component_id")), "groups")  # read anew, a large group's rows can be split
-    by_print = named.join(groups, "label").select("fingerprint", "component_id")
-    return own.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    by_print = named.join(groups, "label").select("fingerprint", "label", "component_id")
+    return own.join(by_print, "fingerprint").select("doc_id", "text_key", "fingerprint", "label", "component_id")
+
+
+def deduplicated(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: of the smallest id (a null one comes last), of several such rows of the least text hash.
+
+    Of rows that are equal in both, one stays. Any column names may be in ``docs``.
+    """
+    at, key, number = unused(docs, "kept_id", "kept_text", "number")
+
+    def first_of_each() -> DataFrame:
+        found = near_duplicates(docs, radius, shingle, id_col, text_col)
+        each = found.groupBy("label", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rows")).alias("k")
+        return each.groupBy("label").agg(best).select(F.col("k.doc_id").alias(at), F.col("k.text_key").alias(key), F.col("k.rows").alias("rows"))
+
+    kept = stored_alone(first_of_each, "kept")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(key))
+    once = docs.join(kept.where("rows = 1").drop("rows"), on, "inner").drop(at, key)
+    several = stored(kept.where("rows > 1").drop("rows"), "several")  # few, as a rule, and then broadcast
+    plain = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    order = Window.partitionBy(at, key).orderBy(F.xxhash64(*plain))
+    more = docs.join(several, on, "inner").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(at, key, number)
+    return once.unionAll(more)

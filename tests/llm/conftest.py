@@ -15,6 +15,7 @@ def odd_docs(spark):
     rows += [(6, "word " * 30_000, "a"), (7, "<|endoftext|>  ends\n\nit's", "c"), (8, "漢字 😀 ...", "c")]
     schema = "doc_id long, text string, source string"
     out = spark.createDataFrame(rows, schema)
-    for name in ("fingerprint", "ids", "size", "label", "start", "shard", "slot", "node"):
+    names = "fingerprint ids size label start shard slot node rows number spans span_doc span_text kept_id kept_text leaking text_key doc run known score lang_pred _id _key _spans _kept _leak".split()
+    for name in names:
         out = out.selectExpr("*", f"'x' AS {name}")
     return out.selectExpr("*", "'en' AS lang", "length(text) + 0L AS n_chars")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import regex as re
 
 from lodeworks.llm import decontamination, queries
 
@@ -90,3 +91,76 @@ def test_short_items_within_other_text_are_found(spark):
     assert {(d, d) for d in range(60)} <= {(x.doc_id, x.item_id) for x in got}
     # with production parameters, such places have low cosines
     assert min(x.cosine for x in got if x.doc_id == x.item_id) < 0.3
+
+
+def brute(docs, items, leak=0.8, paraphrase=0.6, answer=0.8):
+    """Pairs of document and item, from the longest common subsequence at every place of every document."""
+    found = set()
+    size = decontamination.BLOCK
+    for i, text in items:
+        item = _words(text)
+        if not item:
+            continue
+        sentences = [s for s in re.split(r"(?<=[.!?。！？])\s+|[\n\r]+", text) if _words(s)]
+
+        def share(target, words):
+            masks = {}
+            for k, w in enumerate(target):
+                masks[w] = masks.get(w, 0) | 1 << k
+            return decontamination.common_subsequence(masks, len(target), words) / len(target)
+
+        for d, words in docs:
+            if sum(w in words[1] for w in item) < paraphrase * len(item):
+                continue
+            for b in range(0, len(words[0]), size):
+                part = words[0][max(0, b - len(item)) : b + 2 * size + len(item)]
+                got = share(item, part)
+                if got >= leak or (got >= paraphrase and share(_words(sentences[-1]), part) >= answer):
+                    found.add((d, i))
+                    break
+    return found
+
+
+def _brute_rows(rows):
+    return [(r.doc_id, (w, set(w))) for r in rows for w in [_words(r.text or "")]]
+
+
+def test_query_equals_brute_force(spark, docs):
+    """Every document against every item at every place, without rare words, cosines or blocks of items."""
+    small = "/root/testdata/sf0.001"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in queries.op5_decontamination(spark, small).collect()}
+    want = brute(_brute_rows(docs.collect()), items)
+    assert want and got == want
+
+
+def test_planted_paraphrases_equal_brute_force(spark, docs, monkeypatch):
+    """Items of 15 to 60 words of the corpus, verbatim, with words replaced or left out, within other documents; many small slices."""
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 4_000)
+    r = random.Random(6)
+    texts = [t for t in (x.text for x in docs.orderBy("doc_id").collect()) if t and len(_words(t)) > 150]
+    items, rows = [], [(10_000 + k, t) for k, t in enumerate(texts)]
+    for k in range(80):
+        words = r.choice(texts).split()
+        size = r.randint(15, 60)
+        at = r.randint(0, len(words) - size)
+        own = words[at : at + size]
+        items.append((k, " ".join(own[:-6]) + ". " + " ".join(own[-6:])))
+        gone = r.choice([0, 0.1, 0.2, 0.35, 0.5])
+        changed = [w if r.random() >= gone or (n >= size - 6 and k % 2) else r.choice(["", "zzz", r.choice(words)]) for n, w in enumerate(own)]
+        host = r.choice(texts).split()
+        at = r.randint(0, len(host))
+        rows.append((k, " ".join([*host[:at], *(w for w in changed if w), *host[at:]])))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(_brute_rows(table.collect()), items)
+    planted = {(k, k) for k in range(80)} & want
+    assert len(planted) > 50 and got == want
+
+
+def test_ties_repeated_rows_and_a_late_passage(spark, items):
+    table, text = items
+    rows = [(1, text), (1, text), (2, f"{text} and again {text}"), (3, "filler words go on here " * 20_000 + text)]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), table.unionAll(table.where("item_id = 1").selectExpr("77L", "text"))).collect()
+    assert sorted((x.doc_id, x.item_id) for x in got) == [(1, 1), (1, 1), (1, 77), (1, 77), (2, 1), (2, 77), (3, 1), (3, 77)]
+    assert all(x.first_word < 60 for x in got if x.doc_id == 2) and all(x.first_word > 90_000 for x in got if x.doc_id == 3)

@@ -101,6 +101,13 @@ def test_passage_within_other_sentences(spark):
     assert head == a and tail.endswith(" other end. Last words stay.") and passage.startswith(tail.removesuffix("other end. Last words stay.")) and len(tail.split()) < 13
 
 
+def test_many_slices_of_a_batch(spark, docs, monkeypatch):
+    monkeypatch.setattr(sentence_spans, "SLICE_BYTES", 2_000)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute(rows, 30)
+    assert {r.doc_id: r.text for r in sentence_spans.dedup(docs.coalesce(1)).collect()} == {d: want.get((d, t), t) for d, t in rows}
+
+
 def test_odd_rows_and_empty_table(spark, odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     out = sentence_spans.dedup(odd_docs, min_words=3)
