@@ -6,42 +6,42 @@ Parquet to the session's shared folder and read again, which also cuts the linea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import decontamination, language, packing, sentence_spans, simhash
-from lodeworks.llm.common import read, stored
+from lodeworks.llm.common import drop_stored, read, stored_alone, unused
 from lodeworks.llm.queries import tokenizer_path, training_rows
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier knows; those without a letter go."""
+    """Documents in a language that the classifier knows.
+
+    Those without a letter go, and those of whose n-grams the model knows less than half as large a share as of
+    any text it has learnt from. Columns keep their values, whatever their names.
+    """
     model = language.fit(docs, training_rows(), per_language=1000, landmarks=64)
-    return language.predicted(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    names = tuple(unused(docs, "lang_pred", "score", "known"))
+    known = (F.col(names[0]) != "und") & (F.col(names[2]) >= model.floor)
+    return language.predicted(docs, model, names=names).where(known).drop(*names)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate component, once."""
-    found = stored(simhash.near_duplicates(docs, radius=4, shingle=4), "near")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = kept.select(F.col("doc_id").alias("_kept"), "rows")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "inner")
-    if kept.where("rows > 1").limit(1).count():  # rows that share an id: one of equal text stays
-        same = Window.partitionBy("_kept", F.xxhash64("text")).orderBy("lang", "source")
-        joined = joined.withColumn("_number", F.row_number().over(same)).where("_number = 1")
-    return joined.select(*docs.columns)
+    """One document of each near-duplicate component, that of the smallest id."""
+    return simhash.deduplicated(docs, radius=4, shingle=4)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without sentences of repeated spans."""
     cut = sentence_spans.dedup(docs, min_words=30)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontamination.leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    (at,) = unused(docs, "leaking")
+    found = decontamination.leaks(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(at)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(at)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        drop_stored(before)
     return STAGES[-1][1](spark, docs, sf_dir)
