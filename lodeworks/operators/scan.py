@@ -122,7 +122,7 @@ def listed_ids(pages: DataFrame, html: str, pattern: str) -> DataFrame:
 CYCLE = ("retry", "frontier", "backward", "refresh")
 
 
-def plan_cycle(spark: SparkSession, state: ScanState, items: DataFrame, ledger: DataFrame, as_of: Column, lookahead=500, dry_streak=500, chunk=500, batch=200) -> DataFrame:
+def plan_cycle(spark: SparkSession, state: ScanState, items: DataFrame, ledger: DataFrame, as_of: Column, lookahead=500, dry_streak=200, chunk=500, batch=200) -> DataFrame:
     """(item_id, phase) of the next cycle's fetches."""
     parts = []
     for phase in CYCLE:

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.catalogue import Catalogue, NotFound
-from lodeworks.config import ConfigError, EngineConfig, origin
+from lodeworks.config import REMOVED, ConfigError, EngineConfig, origin
 from lodeworks.operators import catalogue, lineage, mapping, matching, mutations, outcomes, scan, selection
 from lodeworks.sources import store as store_module
 from lodeworks.sources.roles import Roles
 from lodeworks.sources.store import SnapshotStore
+from lodeworks.sources.tables import StoredTables, database_table
 from lodeworks.streaming import replay
 
 
@@ -298,6 +299,27 @@ def test_a_version_is_there_whole_or_not(spark, tmp_path, monkeypatch):
     assert two.version() == 1 and two.read("t").count() == 3 and one.write({"t": spark.range(5)}) == 2
 
 
+def test_stored_tables_serve_the_reader(spark, tmp_path):
+    roles, store = Roles(spark, SF), SnapshotStore(spark, str(tmp_path / "store"))
+    kept = {n: getattr(roles, n) for n in ("networks", "sites", "works", "people", "bridge", "attempts")}
+    store.write({**kept, "items": roles.listed_items})
+    one, two = Catalogue(roles), Catalogue(StoredTables(store))
+    for ask in (lambda c: c.list_entities("works", sort="newest").records, lambda c: c.list_items(sort="seeders").records, lambda c: c.get_entity("works", 7).parts["items"].select("item_id", "title"), lambda c: c.list_entities("works").records):
+        assert list(map(tuple, ask(one).collect())) == list(map(tuple, ask(two).collect()))
+    with pytest.raises(AttributeError):
+        StoredTables(store).films
+
+
+def test_database_tables_are_read_in_ranges(spark):
+    url, driver = "jdbc:derby:memory:lodeworks;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(5, 105).selectExpr("id AS ITEM_ID", "id * 2 AS TWICE").write.jdbc(url, "ITEMS", "overwrite", driver)
+    rows = database_table(spark, url, "ITEMS", "ITEM_ID", 4, **driver)
+    assert rows.rdd.getNumPartitions() == 4 and rows.where("ITEM_ID >= 100").agg(F.sum("TWICE")).first()[0] == 2 * sum(range(100, 105))
+    assert database_table(spark, url, "ITEMS", **driver).count() == rows.count() == 100
+    spark.range(0).selectExpr("id AS ITEM_ID").write.jdbc(url, "NONE_", "overwrite", driver)
+    assert database_table(spark, url, "NONE_", "ITEM_ID", **driver).count() == 0
+
+
 def test_ledger_stream(spark, tmp_path):
     log = spark.createDataFrame([(1, 5, 404), (1, 6, 429), (2, 5, 200)], "item_id bigint, at bigint, status int").coalesce(1)
     for _ in range(2):
@@ -309,12 +331,20 @@ def test_ledger_stream(spark, tmp_path):
     assert [tuple(r) for r in store.read("ledger").collect()] == [(1, "blocked", 4)]
 
 
-@pytest.mark.parametrize("env", [{"RATE": "0"}, {"RATE": "nan"}, {"RATE": "x"}, {"REQUEST_DELAY": "1"}, {"HOSTS": "https://a,https://A"}, {"HOSTS": "https://a/path"}, {"COOLDOWN": "inf"}])
+RATE = "REQUESTS_PER_SECOND_PER_DOMAIN"
+BAD = [{RATE: v} for v in ("0", "-1", "inf", "nan", "-inf", "abc", "0.001")]
+BAD += [{k: v} for k in ("BLOCK_COOLDOWN_SECONDS", "REQUEST_TIMEOUT_SECONDS") for v in ("0", "-5", "inf", "nan", "x")]
+BAD += [{"BASE_URLS": v} for v in ("https://a.x,", "ftp://a.x", "a.x", "https://u:p@a.x", "https://a.x/path", "https://a.x?q=1", "https://", "https://a.x,https://A.X/", "https://a.x:no")]
+BAD += [{k: "1"} for k in REMOVED] + [{"CYCLE_INTERVAL": "1.5"}]
+
+
+@pytest.mark.parametrize("env", BAD)
 def test_bad_settings(env):
-    with pytest.raises(ConfigError):
+    with pytest.raises(ConfigError, match=None if "BASE_URLS" in env else next(iter(env))):
         EngineConfig.from_mapping(env)
 
 
 def test_settings():
-    got = EngineConfig.from_mapping({"HOSTS": "https://A.x/, http://b:8080", "RATE": "0.5", "CHUNK": "9"})
-    assert got.hosts == ("https://a.x", "http://b:8080") and got.rate == 0.5 and got.chunk == 9 and origin("https://q") == "https://q"
+    got = EngineConfig.from_mapping({"BASE_URLS": " https://A.x , http://b:8080/", RATE: "0.5", "BACKFILL_CHUNK_SIZE": "9", "MAX_CONCURRENCY": "", "SITE_TZ": ""})
+    assert got.hosts == ("https://a.x", "http://b:8080") and got.gap == 2 and got.chunk == 9 and got.site_zone == "UTC" and origin("https://q") == "https://q"
+    assert EngineConfig.from_mapping({"BASE_URL": "https://one"}).hosts == ("https://one",) and EngineConfig.from_mapping({}) == EngineConfig()
