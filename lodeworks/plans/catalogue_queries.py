@@ -106,9 +106,9 @@ def tag_facets_nonblank(r: Roles) -> DataFrame:
     return catalogue.tag_facets(r.tagged, nonblank=True, contains=" E ")
 
 
-@query(with_views("tagged", "SELECT item_id, title FROM tagged WHERE list_contains(tags, 'almond')"))
+@query(with_views("tagged", "SELECT item_id, title FROM tagged WHERE list_contains(tags, 'red')"))
 def tag_filtered_items(r: Roles) -> DataFrame:
-    return r.tagged.where(selection.holds_all(F.col("tags"), ["almond"]) & selection.item_filter(tag="almond")).select("item_id", "title")
+    return r.tagged.where(selection.holds_all(F.col("tags"), ["red"]) & selection.item_filter(tag="red")).select("item_id", "title")
 
 
 LOGO = "coalesce({0}.poster_url, {0}.logo_url) AS image_url"
@@ -300,9 +300,9 @@ def _pairs(r: Roles) -> DataFrame:
     return matching.scored(joined.withColumn("site_match", F.col("doc_id") % 3 == F.col("item_id") % 3)).where("overlap >= 0.5")
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, item_id, round(ov, 4) AS overlap, CAST(delta AS INTEGER) AS delta, round(score, 4) AS score, accepted FROM c")
+@query(f"WITH {PAIRS} SELECT doc_id, item_id, round(ov, 4) AS overlap, CAST(delta AS INTEGER) AS delta, round(round(score, 9), 4) AS score, accepted FROM c")
 def overlap_scores(r: Roles) -> DataFrame:
-    return _pairs(r).select("doc_id", "item_id", F.round("overlap", 4).alias("overlap"), "delta", F.round("score", 4).alias("score"), "accepted")
+    return _pairs(r).select("doc_id", "item_id", F.round("overlap", 4).alias("overlap"), "delta", F.round(F.round("score", 9), 4).alias("score"), "accepted")
 
 
 def _ranked(r: Roles) -> DataFrame:
@@ -317,7 +317,7 @@ RANKED = f"{PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER
  a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rn) AS nth FROM k WHERE accepted),
  g AS (SELECT doc_id, count(*) AS candidate_count, min(CASE WHEN rn = 1 THEN item_id END) AS best, min(CASE WHEN rn = 1 THEN score END) AS best_score FROM k GROUP BY 1),
  f AS (SELECT doc_id, min(CASE WHEN nth = 1 THEN item_id END) AS one, min(CASE WHEN nth = 1 THEN score END) AS s1, min(CASE WHEN nth = 2 THEN score END) AS s2 FROM a GROUP BY 1)
- SELECT g.doc_id, coalesce(one, best) AS candidate_id, round(coalesce(s1, best_score), 4) AS score, one IS NOT NULL AND (s2 IS NULL OR round(s1 - s2, 9) >= 0.08) AS accepted,
+ SELECT g.doc_id, coalesce(one, best) AS candidate_id, round(round(coalesce(s1, best_score), 9), 4) AS score, one IS NOT NULL AND (s2 IS NULL OR round(s1 - s2, 9) >= 0.08) AS accepted,
  CASE WHEN one IS NULL THEN 'rejected' WHEN s2 IS NULL OR round(s1 - s2, 9) >= 0.08 THEN 'accepted' ELSE 'ambiguous' END AS reason, candidate_count FROM g LEFT JOIN f USING (doc_id)"""
 )
 def decide_match(r: Roles) -> DataFrame:
@@ -354,7 +354,7 @@ STAGED = f"""{PAIRS}, found AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NUL
     f"""WITH {STAGED}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stage ORDER BY accepted DESC, score DESC, delta, item_id) AS nth FROM v),
  p AS (SELECT doc_id, stage, max(inspected) AS inspected, min(CASE WHEN accepted AND nth = 1 THEN item_id END) AS one, min(CASE WHEN accepted AND nth = 1 THEN score END) AS s1, min(CASE WHEN accepted AND nth = 2 THEN score END) AS s2 FROM n GROUP BY 1, 2),
  q AS (SELECT *, one IS NOT NULL AND (s2 IS NULL OR round(s1 - s2, 9) >= 0.08) AS ok FROM p), x AS (SELECT doc_id, min(CASE WHEN ok THEN stage END) AS at_stage FROM q GROUP BY 1)
- SELECT doc_id AS item_id, max(at_stage) AS stage, max(CASE WHEN stage = at_stage THEN one END) AS candidate_id, round(coalesce(max(CASE WHEN stage = at_stage THEN s1 END), 0), 4) AS score,
+ SELECT doc_id AS item_id, max(at_stage) AS stage, max(CASE WHEN stage = at_stage THEN one END) AS candidate_id, round(round(coalesce(max(CASE WHEN stage = at_stage THEN s1 END), 0), 9), 4) AS score,
  CAST(sum(CASE WHEN at_stage IS NULL OR stage <= at_stage THEN inspected ELSE 0 END) AS BIGINT) AS candidate_count, CASE WHEN max(at_stage) IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS status FROM q JOIN x USING (doc_id) GROUP BY 1"""
 )
 def cascade_first_accept(r: Roles) -> DataFrame:
@@ -365,7 +365,7 @@ def cascade_first_accept(r: Roles) -> DataFrame:
         "item_id", (F.col("candidate_id") % 7).alias("stage"), F.col("candidate_id").alias("pos"), "candidate_id", F.concat(F.lit("t"), F.col("candidate_id") % 10).alias("title"), "tokens", "day", site.alias("site_id"), F.concat(F.lit("SITE-"), site).alias("site_name"), F.lit("").alias("site_short_name")
     )
     sources = d.select(F.col("source_id").alias("item_id"), F.concat(F.lit("Site "), F.col("source_id") % 5).alias("label"), "tokens", "day")
-    return matching.cascade(sources, candidates, _site_results(sources))
+    return matching.cascade(sources, candidates, _site_results(sources)).withColumn("score", F.round(F.round("score", 9), 4))
 
 
 def _site_results(sources: DataFrame) -> DataFrame:
