@@ -84,12 +84,12 @@ def stored_group_key(filename: Column) -> Column:
 def telling(tokens: Column, scoped: Column | bool = False) -> Column:
     """Tokens that say something: longer than one, no noise, no episode number; in order, with repeats."""
     scoped = F.lit(scoped) if isinstance(scoped, bool) else F.coalesce(scoped, F.lit(False))
-    numbered = lambda t: t.rlike("^[es]") & t.rlike(EPISODE)  # noqa: E731  the first letter spares most words the longer pattern
+    numbered = lambda t: (t.startswith("e") | t.startswith("s")) & t.rlike(EPISODE)  # noqa: E731  the first letter spares most words the pattern
     return F.filter(tokens, lambda t: (F.length(t) > 1) & ~t.isin(*NOISE) & ~(scoped & t.isin(*SCOPED_NOISE)) & ~numbered(t))
 
 
 def content_tokens(text: Column, scoped: Column | bool = False) -> Column:
-    return F.array_distinct(telling(word_tokens(text), scoped))
+    return telling(F.array_distinct(word_tokens(text)), scoped)
 
 
 def split_camel(text: Column) -> Column:

@@ -94,11 +94,12 @@ def likely_pairs(sources: DataFrame, candidates: DataFrame, share: float) -> Dat
     """
 
     def parts(rows, key):
-        rare = F.array_sort("tokens", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+        longest = F.sort_array(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("w"))))
         n = F.size("tokens")
-        some = F.slice(rare, 1, F.greatest(n - F.ceil(n * share - 1e-9).cast("int") + 1, F.lit(1)))
-        full = rows.where(n > 0)
-        return full.select(key, F.explode(some).alias("w")), full.select(key, F.explode("tokens").alias("w"))
+        some = F.slice(longest, 1, F.greatest(n - F.ceil(n * share - 1e-9).cast("int") + 1, F.lit(1)))
+        # outer, since a plain explode would put a filter of its own below the rows' exchange, which then couldn't be shared
+        few, every = rows.select(key, F.explode_outer(some).alias("e")).select(key, "e.w"), rows.select(key, F.explode_outer("tokens").alias("w"))
+        return few.where("w IS NOT NULL"), every.where("w IS NOT NULL")
 
     (few, every), (few_other, every_other) = parts(sources, "source_id"), parts(candidates, "candidate_id")
     both = few.join(every_other, "w").unionByName(every.join(few_other, "w"))

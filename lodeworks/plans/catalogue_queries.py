@@ -287,8 +287,9 @@ PAIRS = f"""d AS (SELECT doc_id, doc_id % 20 AS day, {WORDS} AS t FROM documents
 
 
 def _tokens(r: Roles, table: str, key: str, days: int) -> DataFrame:
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col(key) % days).cast("int"))
-    return r.table(table).select(F.col(key), day.alias("day"), text.content_tokens(F.col("text")).alias("tokens"))
+    """Words of each row, behind an exchange that all uses of them share, so that they are made once."""
+    words = r.table(table).select(F.col(key), text.content_tokens(F.col("text")).alias("tokens")).repartition(key)
+    return words.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col(key) % days).cast("int")))
 
 
 def _pairs(r: Roles) -> DataFrame:

@@ -55,7 +55,7 @@ NOISE = ", ".join(f"'{w}'" for w in text.NOISE)
 @query(f"SELECT doc_id, len(t) AS tokens, len(list_distinct(list_filter(t, lambda x: length(x) > 1 AND x NOT IN ({NOISE}) AND NOT regexp_full_match(x, '(e|episode|scene)\\d{{1,4}}')))) AS telling FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
 def tokenise_documents(r: Roles) -> DataFrame:
     size = lambda a: F.size(a).cast("bigint")
-    counted = text.bound(text.word_tokens(F.col("text")), lambda t: F.struct(size(t).alias("tokens"), size(F.array_distinct(text.telling(t))).alias("telling")))
+    counted = text.bound(text.word_tokens(F.col("text")), lambda t: F.struct(size(t).alias("tokens"), size(text.telling(F.array_distinct(t))).alias("telling")))
     return r.table("documents").select("doc_id", counted.alias("c")).select("doc_id", "c.*")
 
 
