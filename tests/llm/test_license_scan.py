@@ -60,17 +60,21 @@ def test_query_equals_brute_force(spark, docs):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     classifier = license_scan.Classifier(table, 500)
     weights, bias, threshold = classifier.model.coefficientMatrix.toArray(), classifier.model.interceptVector.toArray(), classifier.threshold
-    place = {}
 
-    def features(paragraph):
+    def parts(paragraph):
         words = regex.findall(r"[\p{L}\p{N}]+", paragraph.lower())
-        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])] or words
-        for g in {*words, *pairs}:
-            if g not in place:
-                place[g] = classifier.hashing.indexOf(g)
-        return {place[g] for g in {*words, *pairs}}, set(pairs), words
+        return words, {f"{a} {b}" for a, b in zip(words, words[1:])} or set(words)
+
+    lines = [line for _, t in rows for line in re.split(r"\r\n|[\n\r]", t or "")]
+    grams = sorted({g for line in lines for part in parts(line) for g in part})
+    hashed = classifier.hashing.transform(spark.createDataFrame([([g],) for g in grams], "grams array<string>")).collect()
+    place = {r.grams[0]: int(r.features.indices[0]) for r in hashed}
+
+    def features(paragraph):
+        words, pairs = parts(paragraph)
+        return {place[g] for g in {*words, *pairs}}, pairs, words
 
-    templates = {f: [features(t)[1] for t in ts] for f, ts in license_scan.TEMPLATES.items()}
+    templates = {f: [parts(t)[1] for t in ts] for f, ts in license_scan.TEMPLATES.items()}
     got = {(r.doc_id, r.paragraph): r for r in license_scan.scan(table, 500).collect()}
     want = 0
     for doc, text in rows:
