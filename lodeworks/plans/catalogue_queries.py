@@ -239,7 +239,8 @@ def work_detail_items(r: Roles) -> DataFrame:
 
 @query(with_views("items attempts", "WITH own AS (SELECT i.* FROM items i JOIN attempts a USING (item_id) WHERE a.work_id = 7), u AS (SELECT size_bytes, item_id, unnest(list_prepend(image_url, images)) AS url, generate_subscripts(list_prepend(image_url, images), 1) AS k FROM own), f AS (SELECT url, row_number() OVER (ORDER BY size_bytes DESC NULLS LAST, item_id, k) AS n FROM u WHERE url <> ''), g AS (SELECT url, min(n) AS n FROM f GROUP BY 1) SELECT string_agg(url, ',' ORDER BY n) AS images FROM g"))
 def work_detail_images(r: Roles) -> DataFrame:
-    return Catalogue(r).get_entity("works", 7).parts["images"].select(F.array_join("images", ",").alias("images"))
+    images = Catalogue(r).get_entity("works", 7).parts["images"]
+    return images.select(F.when(F.size("images") > 0, F.array_join("images", ",")).alias("images"))  # null without any, as string_agg has it
 
 
 LINK = f"SELECT w.work_id AS id, w.title AS name, w.date, {WORK_IMAGE} AS image_url FROM works w"

@@ -34,6 +34,18 @@ def test_equals_its_sql(spark, duck, name):
     assert _rows(found.columns, found.collect()) == _rows(names, want.fetchall())
 
 
+def test_images_of_a_work_without_items(spark, tmp_path):
+    for t in TABLES:
+        if t != "orders":
+            os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    orders = str(tmp_path / "orders.parquet")
+    spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey <> 7").write.parquet(orders)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{orders}/*.parquet'")
+    want = con.execute(registry.ORACLES["work_detail_images"]).fetchall()
+    assert [tuple(x) for x in registry.QUERIES["work_detail_images"](spark, str(tmp_path)).collect()] == want == [(None,)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 24
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
