@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodeworks.functions.text import date_delta, overlap, plain_name
 
 MARGIN, AUDIT_ROWS, STORED_ROWS = 0.08, 10, 25
+#: Common words among those looked up that make a pair a candidate, where a match needs as many.
+LOOKED_UP = 4
 #: The method of a match that was taken over, and of one that isn't independent either.
 REUSED = ("resolution_sibling", "parse_filename_first")
 
@@ -43,8 +45,9 @@ def acceptable(share: Column, site: Column, delta: Column) -> Column:
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (tokens, day, candidate_tokens, candidate_day, site_match) with overlap, delta, score and accepted."""
-    out = pairs.withColumns({"overlap": overlap(F.col("tokens"), F.col("candidate_tokens")), "delta": date_delta(F.col("day"), F.col("candidate_day"))})
+    """``pairs`` (tokens, candidate_tokens or overlap; day, candidate_day, site_match) with overlap, delta, score and accepted."""
+    out = pairs if "overlap" in pairs.columns else pairs.withColumn("overlap", overlap(F.col("tokens"), F.col("candidate_tokens")))
+    out = out.withColumn("delta", date_delta(F.col("day"), F.col("candidate_day")))
     o, s, d = F.col("overlap"), F.col("site_match"), F.col("delta")
     return out.withColumns({"score": score(o, s, d), "accepted": acceptable(o, s, d)})
 
@@ -86,24 +89,31 @@ def decisions(candidates: DataFrame, key: list[str]) -> DataFrame:
 
 
 def likely_pairs(sources: DataFrame, candidates: DataFrame, share: float) -> DataFrame:
-    """(source_id, candidate_id): all pairs whose sets of tokens overlap by ``share`` of the smaller one, and some others.
+    """(source_id, candidate_id): all pairs whose sets of tokens overlap by ``share`` of the smaller one, and few others.
 
     ``sources``: source_id, tokens; ``candidates``: candidate_id, tokens; tokens without repeats. If
-    k of the smaller set's n tokens have to be in the other set, one of any n - k + 1 of them is, so these alone are looked up:
-    the longest, since long words are in few sets, and so no frequent word is a key but for sets of nothing else.
+    k of the smaller set's n tokens have to be in the other set, c of any n - k + c of them are, so these alone are looked up, with c
+    ``LOOKED_UP`` or k: the longest, since long words are in few sets, and so no frequent word is a key but for sets of nothing else.
+    Only the smaller set of a pair is looked up, and of sources only those that are smaller than the largest candidate.
     """
 
-    def parts(rows, key):
-        longest = F.sort_array(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("w"))))
-        n = F.size("tokens")
-        some = F.slice(longest, 1, F.greatest(n - F.ceil(n * share - 1e-9).cast("int") + 1, F.lit(1)))
+    def every(rows, key, n):
         # outer, since a plain explode would put a filter of its own below the rows' exchange, which then couldn't be shared
-        few, every = rows.select(key, F.explode_outer(some).alias("e")).select(key, "e.w"), rows.select(key, F.explode_outer("tokens").alias("w"))
-        return few.where("w IS NOT NULL"), every.where("w IS NOT NULL")
+        return rows.select(key, F.size("tokens").alias(n), F.explode_outer("tokens").alias("w")).where("w IS NOT NULL")
+
+    def few(rows, key, n):
+        longest = F.sort_array(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("w"))))
+        size = F.size("tokens")
+        k = F.greatest(F.ceil(size * share - 1e-9).cast("int"), F.lit(1))
+        need = F.least(k, F.lit(LOOKED_UP))
+        return rows.select(key, size.alias(n), need.alias("need"), F.explode_outer(F.slice(longest, 1, size - k + need)).alias("e")).select(key, n, "need", "e.w").where("w IS NOT NULL")
 
-    (few, every), (few_other, every_other) = parts(sources, "source_id"), parts(candidates, "candidate_id")
-    both = few.join(every_other, "w").unionByName(every.join(few_other, "w"))
-    return both.select("source_id", "candidate_id").distinct()
+    most = candidates.agg(F.max(F.size("tokens")).alias("most"))
+    short = sources.join(F.broadcast(most), F.size("tokens") < F.col("most"))  # one row
+    smaller_source = few(short, "source_id", "n").join(every(candidates, "candidate_id", "m"), "w").where("n < m")
+    smaller_candidate = every(sources, "source_id", "n").join(few(candidates, "candidate_id", "m"), "w").where("m <= n")
+    both = smaller_source.select("source_id", "candidate_id", "need").unionByName(smaller_candidate.select("source_id", "candidate_id", "need"))
+    return both.groupBy("source_id", "candidate_id").agg(F.count(F.lit(1)).alias("found"), F.min("need").alias("need")).where("found >= need").drop("found", "need")
 
 
 def audit(candidates: DataFrame, key: list[str], limit: int = AUDIT_ROWS) -> DataFrame:
@@ -125,22 +135,25 @@ def cascade(sources: DataFrame, candidates: DataFrame, site_results: DataFrame,
     """Every item's decision at the first stage that accepts, as ``first_accepted`` gives it.
 
     ``sources``: item_id, label, tokens, day; ``candidates``: item_id, stage, pos, candidate_id, title, tokens, day, site_id,
-    site_name, site_short_name; ``site_results``: item_id, pos, site_id, name, short_name. The site that the
+    site_name, site_short_name, and overlap in place of tokens on both sides if it is known; ``site_results``: item_id, pos, site_id, name, short_name. The site that the
     results of a search by label name is the expected one from ``site_stage`` on, and without it that stage has no
     candidates. Candidates that agree in title, day and site count once within a stage. Stages beyond ``last`` aren't asked.
     """
     labelled = site_results.join(sources.select("item_id", "label"), "item_id")
     site = select_site(labelled).select("item_id", F.col("site_id").alias("_expected"))
     asked = candidates.where(F.col("stage") <= last).withColumnRenamed("tokens", "candidate_tokens").withColumnRenamed("day", "candidate_day")
-    joined = asked.join(sources.select("item_id", "label", "tokens", "day"), "item_id").join(site, "item_id", "left")
+    words = [] if "overlap" in candidates.columns else ["tokens"]
+    joined = asked.join(sources.select("item_id", "label", "day", *words), "item_id").join(site, "item_id", "left")
     joined = joined.where((F.col("stage") != site_stage) | F.col("_expected").isNotNull())
+    if words:  # before the windows, which needn't sort tokens then
+        joined = joined.withColumn("overlap", overlap(F.col("tokens"), F.col("candidate_tokens"))).drop("tokens", "candidate_tokens")
     joined = joined.withColumns({"_title": plain_name(F.col("title")), "_site": plain_name(F.col("site_name"))})
-    inspected = joined.groupBy("item_id", "stage").agg(F.count(F.lit(1)).alias("_inspected"))
+    joined = joined.withColumn("_inspected", F.count(F.lit(1)).over(Window.partitionBy("item_id", "stage")))
     once = distinct_candidates(joined, ["item_id", "stage"], ["_title", "candidate_day", "_site"])
     expected = F.when(F.col("stage") >= site_stage, F.col("_expected"))
     match = site_matches(F.col("label"), F.col("site_name"), F.col("site_short_name"), expected, F.col("site_id"))
-    by = decisions(scored(once.withColumn("site_match", match)), ["item_id", "stage"]).drop("candidate_count")
-    return first_accepted(by.join(inspected.withColumnRenamed("_inspected", "candidate_count"), ["item_id", "stage"]))
+    by = decisions(scored(once.withColumn("site_match", match)), ["item_id", "stage", "_inspected"]).drop("candidate_count")
+    return first_accepted(by.withColumnRenamed("_inspected", "candidate_count"))
 
 
 def first_accepted(by_stage: DataFrame, key: str = "item_id") -> DataFrame:
@@ -149,8 +162,7 @@ def first_accepted(by_stage: DataFrame, key: str = "item_id") -> DataFrame:
     ``by_stage``: key, stage, candidate_id, score, accepted, candidate_count. Without acceptance the
     score is 0 and all candidates count.
     """
-    stage = by_stage.groupBy(key).agg(F.min(F.when(F.col("accepted"), F.col("stage"))).alias("at"))
-    joined = by_stage.join(stage, key)
+    joined = by_stage.withColumn("at", F.min(F.when(F.col("accepted"), F.col("stage"))).over(Window.partitionBy(key)))
     upto = F.col("at").isNull() | (F.col("stage") <= F.col("at"))
     here = F.col("stage") == F.col("at")
     out = joined.groupBy(key).agg(

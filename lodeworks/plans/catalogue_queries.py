@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.catalogue import Catalogue
@@ -287,10 +287,14 @@ PAIRS = f"""d AS (SELECT doc_id, doc_id % 20 AS day, {WORDS} AS t FROM documents
   (delta = 0 AND ov >= 0.5 AND (site OR ov >= 0.8)) OR (delta <= 3 AND ov >= 0.8 AND (site OR ov >= 0.9)) OR (site AND delta <= 7 AND ov >= 0.8) OR (site AND ov >= 0.95 AND delta <= 30) AS accepted FROM s)"""
 
 
+def _day(key: str, days: int) -> Column:
+    return F.date_add(F.lit("2024-01-01").cast("date"), (F.col(key) % days).cast("int")).alias("day")
+
+
 def _tokens(r: Roles, table: str, key: str, days: int) -> DataFrame:
     """Words of each row, behind an exchange that all uses of them share, so that they are made once."""
     words = r.table(table).select(F.col(key), text.content_tokens(F.col("text")).alias("tokens")).repartition(key)
-    return words.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col(key) % days).cast("int")))
+    return words.select("*", _day(key, days))
 
 
 def _pairs(r: Roles) -> DataFrame:
@@ -360,13 +364,11 @@ STAGED = f"""{PAIRS}, found AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NUL
  CAST(sum(CASE WHEN at_stage IS NULL OR stage <= at_stage THEN inspected ELSE 0 END) AS BIGINT) AS candidate_count, CASE WHEN max(at_stage) IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS status FROM q JOIN x USING (doc_id) GROUP BY 1"""
 )
 def cascade_first_accept(r: Roles) -> DataFrame:
-    d, b = _tokens(r, "documents", "doc_id", 20).withColumnRenamed("doc_id", "source_id"), _tokens(r, "benchmark", "item_id", 25)
-    few = _pairs(r).select(F.col("doc_id").alias("item_id"), F.col("item_id").alias("candidate_id"))
-    site = F.col("candidate_id") % 5
-    candidates = few.join(b.withColumnRenamed("item_id", "candidate_id"), "candidate_id").select(
-        "item_id", (F.col("candidate_id") % 7).alias("stage"), F.col("candidate_id").alias("pos"), "candidate_id", F.concat(F.lit("t"), F.col("candidate_id") % 10).alias("title"), "tokens", "day", site.alias("site_id"), F.concat(F.lit("SITE-"), site).alias("site_name"), F.lit("").alias("site_short_name")
+    site = F.col("item_id") % 5
+    candidates = _pairs(r).select(
+        F.col("doc_id").alias("item_id"), (F.col("item_id") % 7).alias("stage"), F.col("item_id").alias("pos"), F.col("item_id").alias("candidate_id"), F.concat(F.lit("t"), F.col("item_id") % 10).alias("title"), "overlap", F.col("candidate_day").alias("day"), site.alias("site_id"), F.concat(F.lit("SITE-"), site).alias("site_name"), F.lit("").alias("site_short_name")
     )
-    sources = d.select(F.col("source_id").alias("item_id"), F.concat(F.lit("Site "), F.col("source_id") % 5).alias("label"), "tokens", "day")
+    sources = r.table("documents").select(F.col("doc_id").alias("item_id"), F.concat(F.lit("Site "), F.col("doc_id") % 5).alias("label"), _day("doc_id", 20))
     return matching.cascade(sources, candidates, _site_results(sources)).withColumn("score", F.round(F.round("score", 9), 4))
 
 

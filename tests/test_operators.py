@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodeworks.catalogue import Catalogue, NotFound
 from lodeworks.config import REMOVED, ConfigError, EngineConfig, origin
 from lodeworks.operators import catalogue, lineage, mapping, matching, mutations, outcomes, scan, selection
+from lodeworks.plans import registry
 from lodeworks.sources import store as store_module
 from lodeworks.sources.roles import Roles
 from lodeworks.sources.store import SnapshotStore
@@ -101,6 +102,33 @@ def test_pairs_of_enough_common_words_are_all_found(spark):
         assert want <= {tuple(p) for p in matching.likely_pairs(*tables, share).collect()}
 
 
+def test_pairs_with_few_common_words_are_left_out(spark):
+    """One long word in common is no match of a set of six, nor the long words of a larger set that a smaller one holds too few of."""
+    words = [f"w{i}" for i in range(9)]
+    left = [(1, ["longestword", *words]), (2, ["longestword", "otherlong", "third1", *words]), (3, ["longestword", "x", "y"])]
+    right = [(1, ["longestword", "otherlong", "third1", "a", "b", "c"]), (2, [*words, "z", *[f"longword{i}" for i in range(20)]])]
+    tables = (spark.createDataFrame(x, f"{k} int, tokens array<string>") for x, k in ((left, "source_id"), (right, "candidate_id")))
+    assert {tuple(p) for p in matching.likely_pairs(*tables, 0.5).collect()} == {(1, 2), (2, 1), (2, 2)}
+
+
+def test_pairs_of_large_sets_are_all_found(spark):
+    r = random.Random(2)
+    words = [f"{'abcdefgh'[i % 8] * (1 + i % 8)}{i}" for i in range(60)]
+    sets = lambda n: [(i, r.sample(words, r.randint(0, 50))) for i in range(n)]
+    left, right = sets(80), sets(50)
+    for share in (0.2, 0.5, 0.9):
+        want = {(i, j) for i, a in left for j, b in right if a and b and len({*a} & {*b}) >= share * min(len(a), len(b))}
+        tables = (spark.createDataFrame(x, f"{k} int, tokens array<string>") for x, k in ((left, "source_id"), (right, "candidate_id")))
+        assert want <= {tuple(p) for p in matching.likely_pairs(*tables, share).collect()}
+
+
+def test_a_cascade_makes_its_candidates_once(spark):
+    plan = registry.QUERIES["cascade_first_accept"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(tokens") == 2  # all words of sources and of candidates
+    sorts = [line for line in plan.splitlines() if "Window [" in line]
+    assert sorts and not any("tokens" in line for line in sorts)
+
+
 def test_the_site_that_is_found_is_expected_later(spark):
     day = datetime.date(2024, 1, 1)
     sources = spark.createDataFrame([(1, "Great Site", ["a", "b", "c", "d"], day), (2, "Other", ["a", "b", "c", "d"], day)], "item_id int, label string, tokens array<string>, day date")
